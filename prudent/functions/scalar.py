@@ -32,7 +32,7 @@ def core_code(col, width: int = 10) -> Column:
 # F03 ---------------------------------------------------------------------
 def safe_date(col, fmt: str = "yyyyMMdd") -> Column:
     """Parse text (or a yyyymmdd number) to a date; NULL on failure."""
-    return F.try_to_date(_c(col).cast("string"), F.lit(fmt))
+    return F.try_to_date(_c(col).cast("string"), fmt)
 
 
 # F04 ---------------------------------------------------------------------
@@ -53,7 +53,7 @@ def day_name(col) -> Column:
 # F06 ---------------------------------------------------------------------
 def minutes_between(a, b) -> Column:
     """Minute boundaries crossed from a to b (warehouse DATEDIFF semantics)."""
-    return F.timestampdiff("MINUTE", F.date_trunc("MINUTE", _c(a)), F.date_trunc("MINUTE", _c(b)))
+    return F.timestamp_diff("MINUTE", F.date_trunc("MINUTE", _c(a)), F.date_trunc("MINUTE", _c(b)))
 
 
 # F07 ---------------------------------------------------------------------

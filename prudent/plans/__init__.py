@@ -1,0 +1,11 @@
+"""Query plans over the driver tables (one module per inventory family)."""
+
+from prudent.plans.registry import ORACLE, QUERIES  # noqa: F401
+
+
+def load_all():
+    """Import every query module so that the registry is populated."""
+    from prudent.plans import (  # noqa: F401
+        q_relational,
+    )
+    return QUERIES, ORACLE
