@@ -454,20 +454,20 @@ def diff_z(df: DataFrame, key: list[str], order: str, value: str) -> DataFrame:
     return d.withColumn("diff_z", safe_div(F.col("diff") - F.avg("diff").over(wk), F.stddev_samp("diff").over(wk)))
 
 
-def peer_rank(df: DataFrame, group: list[str], metric: str) -> DataFrame:
+def peer_rank(df: DataFrame, group: list[str], metric: str, tiebreak: list[str] = ()) -> DataFrame:
     """Percentile rank, quartile and decile within peers."""
-    w = Window.partitionBy(*group).orderBy(metric)
+    w = Window.partitionBy(*group).orderBy(metric, *tiebreak)
     return (df.withColumn("pct_rank", F.percent_rank().over(w))
             .withColumn("quartile", F.ntile(4).over(w)).withColumn("decile", F.ntile(10).over(w)))
 
 
 def running_cap(df: DataFrame, key: list[str], order: list[str], value: str, cap: float,
                 marks=(0.5, 0.75, 0.9)) -> DataFrame:
-    """Running total; the first row at which each share mark is reached
-    and the first row above the hard cap (one row per key)."""
+    """Running total; the first row (by ``order``) at which each share
+    mark of ``cap`` is reached and the first row above the hard cap."""
     w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     d = df.withColumn("__run", F.sum(value).over(w))
-    o = F.struct(*[F.col(c) for c in order])
+    o = F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(c) for c in order])
     aggs = [F.min(F.when(F.col("__run") >= F.lit(m * cap), o)).alias(f"first_at_{int(m * 100)}") for m in marks]
     aggs.append(F.min(F.when(F.col("__run") > F.lit(cap), o)).alias("first_over_cap"))
     return d.groupBy(*key).agg(F.max("__run").alias("total"), *aggs)
@@ -517,13 +517,14 @@ def cohort_index(df: DataFrame, entity: str, ts: str, grain: str = "month") -> D
     return d.withColumn("age", age)
 
 
-def runs(df: DataFrame, key: list[str], order: str, flag: str) -> DataFrame:
-    """Gaps-and-islands run lengths of a state."""
-    w = Window.partitionBy(*key).orderBy(order)
-    ws = Window.partitionBy(*key, flag).orderBy(order)
+def runs(df: DataFrame, key: list[str], order: list[str], flag: str) -> DataFrame:
+    """Gaps-and-islands run lengths of a state (``order`` is a total order)."""
+    w = Window.partitionBy(*key).orderBy(*order)
+    ws = Window.partitionBy(*key, flag).orderBy(*order)
     d = df.withColumn("__grp", F.row_number().over(w) - F.row_number().over(ws))
     return (d.groupBy(*key, flag, "__grp")
-            .agg(F.min(order).alias("run_start"), F.max(order).alias("run_end"), F.count("*").alias("run_length"))
+            .agg(F.min(order[0]).alias("run_start"), F.max(order[0]).alias("run_end"),
+                 F.count("*").alias("run_length"))
             .drop("__grp"))
 
 

@@ -7,5 +7,6 @@ def load_all():
     """Import every query module so that the registry is populated."""
     from prudent.plans import (  # noqa: F401
         q_relational,
+        q_window,
     )
     return QUERIES, ORACLE
