@@ -128,6 +128,18 @@ def norm_severity(col) -> Column:
 
 
 # F15 ---------------------------------------------------------------------
+# Word boundaries spelled as explicit Unicode classes, so that the JVM and
+# other regex engines agree (a letter next to an accented letter is not a
+# boundary, as in Python's Unicode-aware \b).
+WB_L = r"(?:^|[^\p{L}\p{N}_])"
+WB_R = r"(?:[^\p{L}\p{N}_]|$)"
+GRADE_PATTERNS = [
+    rf"(?i){WB_L}Grade\s+([A-F]){WB_R}",
+    rf"(?i){WB_L}grade[-_\s]([A-F]){WB_R}",
+    rf"{WB_L}([A-F]){WB_R}",
+]
+
+
 def grade_letter(col) -> Column:
     """'Grade X' first, then grade-X / grade_X, then the first lone A-F."""
     c = _c(col)
@@ -136,9 +148,7 @@ def grade_letter(col) -> Column:
         s = F.regexp_extract(c, p, 1)
         return F.when(s == "", None).otherwise(F.upper(s))
 
-    extracted = F.coalesce(grab(r"(?i)\bGrade\s+([A-F])\b"),
-                           grab(r"(?i)\bgrade[-_\s]([A-F])\b"),
-                           grab(r"\b([A-F])\b"))
+    extracted = F.coalesce(*[grab(p) for p in GRADE_PATTERNS])
     return F.when(c.isin("A", "B", "C", "D", "F"), c).otherwise(extracted)
 
 

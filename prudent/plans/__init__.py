@@ -8,5 +8,6 @@ def load_all():
     from prudent.plans import (  # noqa: F401
         q_relational,
         q_window,
+        q_text,
     )
     return QUERIES, ORACLE
