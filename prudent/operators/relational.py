@@ -628,3 +628,31 @@ def churn(df: DataFrame, key: str, period: str, t0, t1) -> DataFrame:
     span = df.groupBy(key).agg(F.min(period).alias("first_seen"), F.max(period).alias("last_seen"))
     return span.withColumn("status", F.when(F.col("first_seen") > F.lit(t0), "appeared")
                            .when(F.col("last_seen") < F.lit(t1), "vanished").otherwise("present"))
+
+
+def peer_median(df: DataFrame, group: list[str], entity: str, value: str, out: str = "peer_median") -> DataFrame:
+    """Exact median of the *other* entities in the group.
+
+    Removing one value from a sorted group shifts the median only among the
+    (at most four) order statistics around the middle, so each row picks its
+    answer from those, chosen by its own rank.  One window per group, no
+    pairs, no collected lists."""
+    w = Window.partitionBy(*group).orderBy(F.col(value), F.col(entity))
+    d = df.withColumn("__r", F.row_number().over(w)).withColumn("__n", F.count("*").over(Window.partitionBy(*group)))
+    mid = F.floor(F.col("__n") / 2)
+    picks = {f"__v{k}": F.max(F.when(F.col("__r") == mid + k, F.col(value))).over(Window.partitionBy(*group))
+             for k in (-1, 0, 1, 2)}
+    for name, c in picks.items():
+        d = d.withColumn(name, c)
+    m = F.col("__n") - 1                     # size of the peer set
+
+    def peer_at(pos):                        # pos-th smallest peer (1-based), pos in mid-1 .. mid+1
+        orig = F.when(pos < F.col("__r"), pos).otherwise(pos + 1)
+        off = orig - mid
+        return (F.when(off == -1, F.col("__v-1")).when(off == 0, F.col("__v0"))
+                .when(off == 1, F.col("__v1")).when(off == 2, F.col("__v2")))
+
+    lo = F.floor((m + 1) / 2)
+    hi = F.floor(m / 2) + 1
+    med = F.when(m <= 0, None).otherwise((peer_at(lo) + peer_at(hi)) / 2.0)
+    return d.withColumn(out, med).drop("__r", "__n", *picks.keys())

@@ -9,5 +9,6 @@ def load_all():
         q_relational,
         q_window,
         q_text,
+        q_profile,
     )
     return QUERIES, ORACLE
