@@ -10,5 +10,6 @@ def load_all():
         q_window,
         q_text,
         q_profile,
+        q_stats,
     )
     return QUERIES, ORACLE
