@@ -11,5 +11,6 @@ def load_all():
         q_text,
         q_profile,
         q_stats,
+        q_diagnose,
     )
     return QUERIES, ORACLE
