@@ -12,5 +12,6 @@ def load_all():
         q_profile,
         q_stats,
         q_diagnose,
+        q_series,
     )
     return QUERIES, ORACLE

@@ -385,7 +385,7 @@ def odds(spark, sf):
 @query("x23_slope", fin(f"""
 WITH {NATION_WEEKLY_SQL}
 SELECT s_nationkey, regr_count(qty, t) AS n, regr_sxx(qty, t) AS sxx, regr_syy(qty, t) AS syy, regr_sxy(qty, t) AS sxy
-FROM (SELECT *, CAST((week - DATE '1970-01-01') / 7 AS BIGINT) AS t FROM nw) GROUP BY 1""",
+FROM (SELECT *, CAST(floor((week - DATE '1970-01-01') / 7) AS BIGINT) AS t FROM nw) GROUP BY 1""",
                         X.slope_exprs(DUCK), ["s_nationkey"]))
 def slope(spark, sf):
     nw = nation_weekly(Tables(spark, sf)).withColumn("t", (F.unix_date("week") / 7).cast("bigint"))

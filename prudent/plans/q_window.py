@@ -144,7 +144,7 @@ def segment_weekly(t: Tables):
 SEGMENT_WEEKLY_SQL = """sw AS (
   SELECT c.c_mktsegment, CAST(date_trunc('week', o_orderdate) AS DATE) AS week, count(*) AS n_orders,
          sum(o_totalprice) AS value,
-         CAST((CAST(date_trunc('week', o_orderdate) AS DATE) - DATE '1970-01-01') / 7 AS BIGINT) AS t
+         CAST(floor((CAST(date_trunc('week', o_orderdate) AS DATE) - DATE '1970-01-01') / 7) AS BIGINT) AS t
   FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY 1, 2)"""
 
 
