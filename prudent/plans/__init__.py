@@ -13,5 +13,6 @@ def load_all():
         q_stats,
         q_diagnose,
         q_series,
+        q_findings,
     )
     return QUERIES, ORACLE
