@@ -14,5 +14,6 @@ def load_all():
         q_diagnose,
         q_series,
         q_findings,
+        q_cluster,
     )
     return QUERIES, ORACLE
