@@ -15,5 +15,7 @@ def load_all():
         q_series,
         q_findings,
         q_cluster,
+        q_io,
+        q_stream,
     )
     return QUERIES, ORACLE
