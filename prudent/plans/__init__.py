@@ -17,5 +17,6 @@ def load_all():
         q_cluster,
         q_io,
         q_stream,
+        q_extra,
     )
     return QUERIES, ORACLE
