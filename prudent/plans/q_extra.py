@@ -368,12 +368,12 @@ def choose_test(spark, sf):
 
 
 @query("d09_days_of_supply", """
-WITH t AS (SELECT max(CAST(l_shipdate AS DATE)) - 30 AS asof FROM lineitem),
+WITH t AS (SELECT max(CAST(l_shipdate AS DATE)) - 30 AS as_of FROM lineitem),
  openq AS (SELECT l.l_suppkey, sum(l.l_quantity) AS open_qty FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
-          WHERE CAST(o.o_orderdate AS DATE) <= (SELECT asof FROM t) AND CAST(l.l_shipdate AS DATE) > (SELECT asof FROM t)
+          WHERE CAST(o.o_orderdate AS DATE) <= (SELECT as_of FROM t) AND CAST(l.l_shipdate AS DATE) > (SELECT as_of FROM t)
           GROUP BY 1),
  usage_ AS (SELECT l_suppkey, sum(l_quantity) / 91.0 AS daily FROM lineitem
-         WHERE CAST(l_shipdate AS DATE) > (SELECT asof FROM t) - 91 AND CAST(l_shipdate AS DATE) <= (SELECT asof FROM t) GROUP BY 1),
+         WHERE CAST(l_shipdate AS DATE) > (SELECT as_of FROM t) - 91 AND CAST(l_shipdate AS DATE) <= (SELECT as_of FROM t) GROUP BY 1),
  s AS (SELECT DISTINCT l_suppkey FROM lineitem)
 SELECT s.l_suppkey, coalesce(openq.open_qty, 0) AS open_qty, round(usage_.daily, 6) AS daily_use,
        round(coalesce(openq.open_qty, 0) / nullif(usage_.daily, 0), 6) AS days_of_supply, coalesce(openq.open_qty, 0) = 0 AS stockout
