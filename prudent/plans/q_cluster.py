@@ -35,7 +35,7 @@ def prepare(spark, sf):
 @query("k02_kmeans_sweep")
 def kmeans_sweep(spark, sf):
     d = K.prepare(customer_features(Tables(spark, sf)), FEATURES)
-    return K.kmeans_sweep(d, range(2, 7))
+    return K.kmeans_sweep(d, range(2, 11))
 
 
 @query("k03_adjusted_rand", f"""WITH {_CF_SQL.replace('GROUP BY 1, 2, 3', 'GROUP BY 1, 2, 3').replace('cf AS', 'cf0 AS')},
