@@ -559,13 +559,14 @@ def bucketed_cumcount(df: DataFrame, by: list[str], value: str, weight: str | No
     return c.select(*by, value, F.col("__w").alias("ties"), "below")
 
 
-def avg_rank(df: DataFrame, value: str, by: list[str] | None = None, out: str = "rank") -> DataFrame:
+def avg_rank(df: DataFrame, value: str, by: list[str] | None = None, out: str = "rank",
+             buckets: int = 64) -> DataFrame:
     """Average ranks with ties and tie-group sizes, per distinct value.
 
     Returns (by..., value, rank, ties); join back on (by, value) for row ranks.
     """
     by = _list(by)
-    c = bucketed_cumcount(df, by, value)
+    c = bucketed_cumcount(df, by, value, buckets=buckets)
     return c.select(*by, value, (F.col("below") + (F.col("ties") + 1) / 2.0).alias(out), "ties")
 
 

@@ -383,7 +383,7 @@ WITH s AS (SELECT n.n_regionkey, l.l_suppkey, sum(l_quantity) AS qty FROM lineit
            JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey GROUP BY 1, 2),
  pm AS (SELECT a.n_regionkey, a.l_suppkey, quantile_cont(b.qty, 0.5) AS peer_median, quantile_cont(b.qty, 0.75) AS peer_p75,
                count(b.qty) AS n_peers
-        FROM s a JOIN s b ON a.n_regionkey = b.n_regionkey AND a.l_suppkey <> b.l_suppkey GROUP BY 1, 2)
+        FROM s a LEFT JOIN s b ON a.n_regionkey = b.n_regionkey AND a.l_suppkey <> b.l_suppkey GROUP BY 1, 2)
 SELECT s.n_regionkey, s.l_suppkey, s.qty, round(pm.peer_median, 6) AS peer_median, round(pm.peer_p75, 6) AS peer_top_quartile,
        pm.n_peers, pm.n_peers >= 10 AS enough_peers,
        round(percent_rank() OVER (PARTITION BY s.n_regionkey ORDER BY s.qty, s.l_suppkey), 6) AS pct_rank
@@ -403,7 +403,7 @@ def benchmark(spark, sf):
 WITH s AS (SELECT n.n_regionkey, l.l_suppkey, sum(l_quantity) AS qty FROM lineitem l
            JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey GROUP BY 1, 2),
  pm AS (SELECT a.n_regionkey, a.l_suppkey, quantile_cont(b.qty, 0.5) AS peer_median, quantile_cont(b.qty, 0.75) AS peer_p75
-        FROM s a JOIN s b ON a.n_regionkey = b.n_regionkey AND a.l_suppkey <> b.l_suppkey GROUP BY 1, 2)
+        FROM s a LEFT JOIN s b ON a.n_regionkey = b.n_regionkey AND a.l_suppkey <> b.l_suppkey GROUP BY 1, 2)
 SELECT s.l_suppkey, round(s.qty - pm.peer_median, 6) AS gap, round((s.qty - pm.peer_median) * 100.0 / pm.peer_median, 6) AS gap_pct,
        sign(s.qty - pm.peer_median) = sign(s.qty - pm.peer_p75) AS robust_to_benchmark,
        CASE WHEN s.qty >= pm.peer_median THEN 'strength' ELSE 'gap' END AS kind
