@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from prudent.sources import io as IO
@@ -38,28 +39,22 @@ def describe(spark, sf):
 
 
 def _artifact_root(spark, sf):
-    """Stage artifacts derived from the data: one JSON object per run
-    (order priority) and stage (segment), a replay copy for one stage, and
-    one artifact without a payload."""
-    o = Tables(spark, sf).orders.join(Tables(spark, sf).customer.select(F.col("c_custkey").alias("o_custkey"),
-                                                                        "c_mktsegment"), "o_custkey")
+    """Stage artifacts derived from the data, written by Spark: one JSON
+    object per run (order priority) and stage (segment, numbered in name
+    order), a replay copy of stage 2, and stage 5 without a payload."""
+    t = Tables(spark, sf)
+    o = t.orders.join(t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey")
     g = o.groupBy("o_orderpriority", "c_mktsegment").agg(F.count("*").alias("n"), F.avg("o_totalprice").alias("m"))
-    root = staging(spark, "artifacts")
-    rows = g.collect()   # one row per (run, stage): 25 small artifacts
-    segs = sorted({r["c_mktsegment"] for r in rows})
-    for r in rows:
-        run = r["o_orderpriority"].replace(" ", "_")
-        stage = segs.index(r["c_mktsegment"]) + 1
-        d = os.path.join(root, run)
-        os.makedirs(d, exist_ok=True) if "://" not in d else None
-        body = {"payload": {"n": r["n"], "mean": r["m"]}} if stage != 5 else {"note": "no payload"}
-        import json
-        with open(os.path.join(d, f"{stage:02d}-{r['c_mktsegment'].lower()}.json"), "w") as fh:
-            json.dump(body, fh)
-        if stage == 2:
-            with open(os.path.join(d, f"{stage:02d}-{r['c_mktsegment'].lower()}-replay.json"), "w") as fh:
-                json.dump(body, fh)
-    return root
+    stage = F.dense_rank().over(Window.orderBy("c_mktsegment"))       # 5 segments: a tiny table
+    g = g.withColumn("stage", stage)
+    name = F.concat(F.lpad(F.col("stage").cast("string"), 2, "0"), F.lit("-"), F.lower("c_mktsegment"))
+    body = F.when(F.col("stage") != 5, F.to_json(F.struct(F.struct("n", "m").alias("payload")))) \
+        .otherwise(F.lit('{"note": "no payload"}'))
+    a = g.select(F.regexp_replace("o_orderpriority", " ", "_").alias("run_id"),
+                 F.concat(name, F.lit(".json")).alias("artifact"), body.alias("body"))
+    replay = g.where("stage = 2").select(F.regexp_replace("o_orderpriority", " ", "_").alias("run_id"),
+                                         F.concat(name, F.lit("-replay.json")).alias("artifact"), body.alias("body"))
+    return IO.write_stage_artifacts(a.unionByName(replay), staging(spark, "artifacts"))
 
 
 @query("s05_read_artifacts")

@@ -53,13 +53,17 @@ def describe_columns(df: DataFrame) -> DataFrame:
 
 
 def read_artifacts(spark: SparkSession, root: str, max_stage: int) -> DataFrame:
-    """Stage artifacts ``<root>/<run>/NN-agent.json``: stage and agent
-    from the file name, numeric prefix <= max_stage, unreadable files and
-    objects without a payload skipped."""
-    raw = spark.read.option("wholetext", True).text(os.path.join(root, "*", "*.json")) \
+    """Stage artifacts named ``NN-agent.json`` under a run folder --
+    either files ``<root>/<run>/NN-agent.json`` or the Spark-written layout
+    ``<root>/run_id=<run>/artifact=NN-agent.json/part-*``.  Stage and agent
+    come from the name; numeric prefix <= max_stage; unreadable files and
+    objects without a payload are skipped."""
+    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root) \
         .select("value", F.col("_metadata.file_path").alias("path"))
-    name = F.regexp_extract("path", r"([^/]+)$", 1)
-    d = raw.select(F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("run_id"), name.alias("file_name"),
+    name = F.regexp_extract("path", r"(\d{2}-[^/=]+?\.json)(?:/[^/]*)?$", 1)
+    run = F.coalesce(F.nullif(F.regexp_extract("path", r"run_id=([^/]+)", 1), F.lit("")),
+                     F.regexp_extract("path", r"/([^/]+)/[^/]+\.json$", 1))
+    d = raw.select(run.alias("run_id"), name.alias("file_name"),
                    F.regexp_extract(name, r"^(\d+)-", 1).alias("__stage"),
                    F.regexp_extract(name, r"^\d+-(.+?)(?:-replay)?\.json$", 1).alias("agent"),
                    F.try_parse_json("value").alias("artifact"))
@@ -69,6 +73,14 @@ def read_artifacts(spark: SparkSession, root: str, max_stage: int) -> DataFrame:
                    & F.try_variant_get("artifact", "$.payload", "string").isNotNull())
 
 
+def write_stage_artifacts(df: DataFrame, root: str) -> str:
+    """Land (run_id, artifact name, JSON text) rows as one artifact per run
+    and name, written by Spark (works on any shared file system)."""
+    df.select("run_id", "artifact", F.col("body").alias("value")).write.mode("overwrite") \
+        .partitionBy("run_id", "artifact").text(root)
+    return root
+
+
 def pick_primary(artifacts: DataFrame) -> DataFrame:
     """Per run and stage, the primary artifact (first by name among
     those without 'replay'; replays only when nothing else exists)."""
