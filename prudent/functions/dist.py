@@ -108,17 +108,21 @@ def _betacf(a: str, b: str, x: str, dialect: str, iters: str) -> str:
 
 
 def betainc(a: str, b: str, x: str, dialect: str = SPARK) -> str:
-    """Regularised incomplete beta I_x(a, b)."""
+    """Regularised incomplete beta I_x(a, b).  The continued fraction is
+    evaluated once, on the side of the symmetry relation where it converges
+    fast: I_x(a, b) = 1 - I_{1-x}(b, a)."""
     va, vb, vx = _fresh("za"), _fresh("zb"), _fresh("zx")
-    iters = f"least(2000, 60 + 8 * ceil(sqrt(greatest({va}, {vb}))))"
-
-    def part(p, q, y):
-        front = f"exp({p} * ln({y}) + {q} * ln(1.0 - {y}) - {lbeta(p, q, dialect)})"
-        return f"({front} * {_betacf(p, q, y, dialect, iters)} / {p})"
-
-    body = (f"CASE WHEN {vx} <= 0 THEN 0.0 WHEN {vx} >= 1 THEN 1.0 "
-            f"WHEN {vx} < ({va} + 1.0) / ({va} + {vb} + 2.0) THEN {part(va, vb, vx)} "
-            f"ELSE 1.0 - {part(vb, va, f'(1.0 - {vx})')} END")
+    fl, p, q, y = _fresh("zf"), _fresh("zp"), _fresh("zq"), _fresh("zy")
+    iters = f"least(2000, 60 + 8 * ceil(sqrt(greatest({p}, {q}))))"
+    front = f"exp({p} * ln({y}) + {q} * ln(1.0 - {y}) - {lbeta(p, q, dialect)})"
+    part = f"({front} * {_betacf(p, q, y, dialect, iters)} / {p})"
+    body = let(dialect, y, f"CASE WHEN {fl} THEN 1.0 - {vx} ELSE {vx} END", part)
+    body = let(dialect, q, f"CASE WHEN {fl} THEN {va} ELSE {vb} END", body)
+    body = let(dialect, p, f"CASE WHEN {fl} THEN {vb} ELSE {va} END", body)
+    r = _fresh("zr")
+    body = let(dialect, r, body, f"CASE WHEN {fl} THEN 1.0 - {r} ELSE {r} END")
+    body = let(dialect, fl, f"({vx} >= ({va} + 1.0) / ({va} + {vb} + 2.0))", body)
+    body = (f"CASE WHEN {vx} <= 0 THEN 0.0 WHEN {vx} >= 1 THEN 1.0 ELSE {body} END")
     inner = let(dialect, vx, f"CAST({x} AS DOUBLE)", body)
     inner = let(dialect, vb, f"CAST({b} AS DOUBLE)", inner)
     return let(dialect, va, f"CAST({a} AS DOUBLE)", inner)
@@ -164,10 +168,10 @@ def norm_sf2(z: str, dialect: str = SPARK) -> str:
 
 
 def norm_cdf(z: str, dialect: str = SPARK) -> str:
-    v = _fresh("zz")
+    v, p2 = _fresh("zz"), _fresh("zs")
     return let(dialect, v, f"CAST({z} AS DOUBLE)",
-               f"CASE WHEN {v} >= 0 THEN 1.0 - 0.5 * {norm_sf2(v, dialect)} "
-               f"ELSE 0.5 * {norm_sf2(v, dialect)} END")
+               let(dialect, p2, norm_sf2(v, dialect),
+                   f"CASE WHEN {v} >= 0 THEN 1.0 - 0.5 * {p2} ELSE 0.5 * {p2} END"))
 
 
 def t_sf2(t: str, df: str, dialect: str = SPARK) -> str:
@@ -178,10 +182,10 @@ def t_sf2(t: str, df: str, dialect: str = SPARK) -> str:
 
 
 def t_cdf(t: str, df: str, dialect: str = SPARK) -> str:
-    vt = _fresh("zt")
+    vt, p2 = _fresh("zt"), _fresh("zs")
     return let(dialect, vt, f"CAST({t} AS DOUBLE)",
-               f"CASE WHEN {vt} >= 0 THEN 1.0 - 0.5 * {t_sf2(vt, df, dialect)} "
-               f"ELSE 0.5 * {t_sf2(vt, df, dialect)} END")
+               let(dialect, p2, t_sf2(vt, df, dialect),
+                   f"CASE WHEN {vt} >= 0 THEN 1.0 - 0.5 * {p2} ELSE 0.5 * {p2} END"))
 
 
 def f_sf(f: str, d1: str, d2: str, dialect: str = SPARK) -> str:

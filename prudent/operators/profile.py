@@ -24,7 +24,7 @@ def _is_string(f: T.StructField) -> bool:
     return isinstance(f.dataType, T.StringType)
 
 
-def profile(df: DataFrame, approx: bool = False, rsd: float = 0.01) -> DataFrame:
+def profile(df: DataFrame, approx: bool = False, rsd: float = 0.05) -> DataFrame:
     """Q01: per column logical type, nulls (NaN counts as null) and distinct
     non-null values.  One aggregate, then an unpivot to one row per column."""
     aggs = []
