@@ -206,27 +206,25 @@ def kpss0(df: DataFrame, key: list[str]) -> DataFrame:
 # ---------------------------------------------------------------------------
 def _loess(x: np.ndarray, y: np.ndarray, xq: np.ndarray, span: int, w: np.ndarray | None = None) -> np.ndarray:
     """Local linear regression with tricube weights over the ``span``
-    nearest points (robustness weights ``w`` optional)."""
+    nearest points (robustness weights ``w`` optional), vectorised over all
+    query points at once (an n x m weight matrix; series are bounded)."""
     n = len(x)
     span = max(2, min(span, n))
-    out = np.empty(len(xq))
     rw = np.ones(n) if w is None else w
-    for i, q in enumerate(xq):
-        dist = np.abs(x - q)
-        idx = np.argpartition(dist, span - 1)[:span]
-        dmax = max(dist[idx].max(), 1e-12) * (1.0 if span < n else (1 + (span - n) / (2 * n)))
-        u = np.clip(dist[idx] / dmax, 0, 1)
-        ww = (1 - u ** 3) ** 3 * rw[idx]
-        sw = ww.sum()
-        if sw <= 0:
-            out[i] = np.nan
-            continue
-        xm = (ww * x[idx]).sum() / sw
-        ym = (ww * y[idx]).sum() / sw
-        sxx = (ww * (x[idx] - xm) ** 2).sum()
-        b = (ww * (x[idx] - xm) * (y[idx] - ym)).sum() / sxx if sxx > 1e-12 else 0.0
-        out[i] = ym + b * (q - xm)
-    return out
+    dist = np.abs(x[:, None] - xq[None, :])
+    h = np.partition(dist, span - 1, axis=0)[span - 1]
+    h = np.maximum(h, 1e-12) * (1.0 if span < n else (1 + (span - n) / (2 * n)))
+    u = np.clip(dist / h, 0, 1)
+    ww = (1 - u ** 3) ** 3 * rw[:, None]
+    sw = ww.sum(axis=0)
+    safe = np.where(sw > 0, sw, 1.0)
+    xm = (ww * x[:, None]).sum(axis=0) / safe
+    ym = (ww * y[:, None]).sum(axis=0) / safe
+    dx = x[:, None] - xm
+    sxx = (ww * dx * dx).sum(axis=0)
+    sxy = (ww * dx * (y[:, None] - ym)).sum(axis=0)
+    b = np.where(sxx > 1e-12, sxy / np.where(sxx > 1e-12, sxx, 1.0), 0.0)
+    return np.where(sw > 0, ym + b * (xq - xm), np.nan)
 
 
 def stl_numpy(y: np.ndarray, period: int, robust: bool = True, inner: int = 2, outer: int = 1):
