@@ -590,17 +590,36 @@ def cap_candidates(df: DataFrame, group: list[str], order: list[Column], k: int)
     return df.withColumn("rank", F.row_number().over(w)).withColumn("overflow", F.col("rank") > k)
 
 
+def exact_hash_sample(df: DataFrame, key: list[str], n: int, seed: int = 42, buckets: int = 4096) -> DataFrame:
+    """Exactly ``n`` rows, the ones with the smallest seeded hash of the key
+    (independent of partitioning), without a single-task top-n merge: count
+    rows per hash bucket (``buckets`` rows), find the bucket holding the
+    n-th row, keep every lower bucket whole and rank only inside the one
+    boundary bucket."""
+    u = F.pmod(F.xxhash64(*[F.col(k) for k in key], F.lit(seed)), F.lit(1 << 40))
+    d = df.withColumn("__u", u).withColumn("__b", (F.col("__u") * buckets / F.lit(float(1 << 40))).cast("int"))
+    cnt = d.groupBy("__b").count()
+    cum = cnt.withColumn("__cum", F.sum("count").over(Window.orderBy("__b")))   # <= buckets rows
+    edge = cum.where(F.col("__cum") >= n).agg(F.min("__b").alias("b"))
+    b_star = edge.scalar()
+    before = cum.where(F.col("__b") < b_star).select(F.coalesce(F.sum("count"), F.lit(0))).scalar()
+    lower = d.where(F.col("__b") < b_star)
+    w = Window.partitionBy("__b").orderBy("__u", *[F.col(k) for k in key])
+    boundary = d.where(F.col("__b") == b_star).withColumn("__r", F.row_number().over(w)) \
+        .where(F.col("__r") <= F.lit(n) - before).drop("__r")
+    return lower.unionByName(boundary).drop("__u", "__b")
+
+
 def guard_rows(df: DataFrame, key: list[str], threshold: int, seed: int = 42, auto_sample: bool = True):
-    """Above ``threshold`` rows, an exact-n deterministic sample (order by
-    a seeded hash of the key, which does not depend on partitioning), with a
-    high-severity warning; with sampling off, an error."""
+    """Above ``threshold`` rows, an exact-n deterministic sample (the
+    rows with the smallest seeded key hash), with a high-severity warning;
+    with sampling off, an error."""
     n = df.count()
     if n <= threshold:
         return df, []
     if not auto_sample:
         raise ValueError(f"{n} rows exceed the {threshold}-row threshold and sampling is off")
-    h = F.xxhash64(*[F.col(k) for k in key], F.lit(seed))
-    out = df.orderBy(h, *[F.col(k) for k in key]).limit(threshold)
+    out = exact_hash_sample(df, key, threshold, seed)
     return out, [("high", f"sampled {threshold} of {n} rows (seed {seed})")]
 
 

@@ -157,20 +157,18 @@ def norm_name(spark, sf):
 
 @query("f18_as_array")
 def as_array(spark, sf):
-    """Scalar-or-list coercion: the props object of a single event or the
-    list of a user's props, both read as an array of objects; a list of
-    records becomes a map keyed by the record name."""
+    """Scalar-or-list coercion: each event's props arrives either as a bare
+    object or wrapped in a one-element list (by event type); both are read
+    as an array of objects, and the list of records becomes a map keyed by
+    the record's name."""
     e = Tables(spark, sf).events
-    lists = e.groupBy("user_id").agg(F.concat(F.lit("["), F.concat_ws(",", F.collect_list("props")), F.lit("]"))
-                                     .alias("j"))
-    single = e.select("user_id", F.col("props").alias("j"))
-    both = lists.unionByName(single)
-    arr = F.when(F.startswith(F.ltrim("j"), F.lit("[")), F.from_json("j", "array<string>")) \
-        .otherwise(F.array(F.col("j")))
+    j = F.when(F.col("event_type").isin("click", "view"), F.concat(F.lit("["), F.col("props"), F.lit("]"))) \
+        .otherwise(F.col("props"))
+    arr = F.when(F.startswith(F.ltrim(j), F.lit("[")), F.from_json(j, "array<string>")).otherwise(F.array(j))
     recs = F.transform(arr, lambda x: F.struct(F.get_json_object(x, "$.k").alias("name"), x.alias("value")))
-    return both.select("user_id", F.size(arr).alias("n_items"),
-                       F.size(F.map_from_entries(F.array_distinct(recs))).alias("n_keys")) \
-        .groupBy("n_items").agg(F.count("*").alias("n_rows"))
+    return e.select("event_type", F.size(arr).alias("n_items"),
+                    F.size(F.map_from_entries(recs)).alias("n_keys")) \
+        .groupBy("event_type", "n_items", "n_keys").agg(F.count("*").alias("n_rows"))
 
 
 @query("f28_match", """

@@ -67,3 +67,12 @@ def test_running_cap(spark):
     df = spark.createDataFrame([(1, i, 10.0) for i in range(1, 11)], "k int, t int, v double")
     r = R.running_cap(df, ["k"], ["t"], "v", 80.0).first()
     assert (r.first_at_50, r.first_at_75, r.first_at_90, r.first_over_cap) == (4, 6, 8, 9)
+
+
+def test_exact_hash_sample_equals_top_n(spark):
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    a = R.exact_hash_sample(li, key, 123, seed=7, buckets=64)
+    h = F.pmod(F.xxhash64(*[F.col(k) for k in key], F.lit(7)), F.lit(1 << 40))
+    b = li.withColumn("u", h).orderBy("u", *key).limit(123).drop("u")
+    assert a.count() == 123 and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
