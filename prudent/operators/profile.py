@@ -103,23 +103,31 @@ def _long(df: DataFrame, metrics: list[str], by: list[str] = ()) -> DataFrame:
 
 def distribution(df: DataFrame, metrics: list[str], by: list[str] = (), approx: bool = False) -> DataFrame:
     """Q06: n, mean, median, sd, IQR, MAD, p5/25/75/95, population skewness
-    and excess kurtosis per metric; MAD by a second pass against the median."""
+    and excess kurtosis per metric; MAD by a second pass against the median.
+    Exact quantiles use value-range buckets (no group is held in one buffer);
+    ``approx=True`` uses sketches (``percentile_approx``)."""
+    from prudent.operators.relational import exact_quantiles
     by = list(by)
     long = _long(df, metrics, by).where(F.col("x").isNotNull())
     qs = [0.05, 0.25, 0.5, 0.75, 0.95]
-    pct = (F.percentile_approx("x", qs, 10000) if approx else F.percentile(F.col("x"), F.array(*[F.lit(q) for q in qs])))
+    qn = ["p5", "p25", "median", "p75", "p95"]
     keys = by + ["metric"]
     st = long.groupBy(*keys).agg(
         F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"),
-        pct.alias("__q"), F.skewness("x").alias("skewness"), F.kurtosis("x").alias("kurtosis"))
-    st = st.select(*keys, "n", "mean", "sd", "skewness", "kurtosis",
-                   *[F.col("__q")[i].alias(n) for i, n in enumerate(["p5", "p25", "median", "p75", "p95"])])
+        F.skewness("x").alias("skewness"), F.kurtosis("x").alias("kurtosis"))
+    if approx:
+        q = long.groupBy(*keys).agg(F.percentile_approx("x", qs, 10000).alias("__q")) \
+            .select(*keys, *[F.col("__q")[i].alias(nm) for i, nm in enumerate(qn)])
+    else:
+        q = exact_quantiles(long, keys, "x", qs, names=qn)
+    st = st.join(q, keys)
     med = st.select(*keys, "median")
     dev = long.join(med, keys).select(*keys, F.abs(F.col("x") - F.col("median")).alias("d"))
-    mad = dev.groupBy(*keys).agg((F.percentile_approx("d", 0.5, 10000) if approx
-                                  else F.percentile(F.col("d"), F.lit(0.5))).alias("mad"))
-    out = st.join(mad, keys).withColumn("iqr", F.col("p75") - F.col("p25"))
-    return out
+    if approx:
+        mad = dev.groupBy(*keys).agg(F.percentile_approx("d", 0.5, 10000).alias("mad"))
+    else:
+        mad = exact_quantiles(dev, keys, "d", [0.5], names=["mad"])
+    return st.join(mad, keys).withColumn("iqr", F.col("p75") - F.col("p25"))
 
 
 def shape(dist: DataFrame) -> DataFrame:

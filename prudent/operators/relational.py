@@ -676,3 +676,35 @@ def peer_median(df: DataFrame, group: list[str], entity: str, value: str, out: s
     hi = F.floor(m / 2) + 1
     med = F.when(m <= 0, None).otherwise((peer_at(lo) + peer_at(hi)) / 2.0)
     return d.withColumn(out, med).drop("__r", "__n", *picks.keys())
+
+
+def exact_quantiles(df: DataFrame, by: list[str], value: str, qs: list[float], buckets: int = 64,
+                    names: list[str] | None = None) -> DataFrame:
+    """Exact linear-interpolation quantiles (type 7, as ``percentile`` and
+    ``quantile_cont``) per group, without holding a group in one buffer.
+
+    Distinct values carry their rank range from ``bucketed_cumcount``; each
+    quantile's two neighbouring order statistics are then picked by one
+    partially-aggregated ``max(when(...))`` per group.  A hot group costs one
+    row per distinct value, spread over value-range buckets."""
+    by = list(by)
+    names = names or [f"q{i}" for i in range(len(qs))]
+    c = bucketed_cumcount(df, by, value, buckets=buckets)
+    n = c.groupBy(*by).agg(F.sum("ties").alias("__n"))
+    c = c.join(n, by) if by else c.withColumn("__n", n.select("__n").scalar())
+    aggs = []
+    for j, q in enumerate(qs):
+        h = (F.col("__n") - 1) * F.lit(float(q)) + 1
+        for tag, pos in (("lo", F.floor(h)), ("hi", F.ceil(h))):
+            hit = (F.col("below") < pos) & (pos <= F.col("below") + F.col("ties"))
+            aggs.append(F.max(F.when(hit, F.col(value))).alias(f"__{tag}{j}"))
+    aggs.append(F.first("__n").alias("__n"))
+    g = c.groupBy(*by).agg(*aggs)
+    out = []
+    for j, q in enumerate(qs):
+        h = (F.col("__n") - 1) * F.lit(float(q)) + 1
+        lo, hi = F.floor(h), F.ceil(h)
+        v = F.when(hi == lo, F.col(f"__lo{j}")).otherwise(
+            (hi - h) * F.col(f"__lo{j}") + (h - lo) * F.col(f"__hi{j}"))
+        out.append(v.alias(names[j]))
+    return g.select(*by, *out)

@@ -32,10 +32,15 @@ def findings(t: Tables):
     g = o.groupBy("run_id", "entity").agg(
         F.count(yv(1998, p)).alias("n1"), F.avg(yv(1998, p)).alias("m1"), F.var_samp(yv(1998, p)).alias("v1"),
         F.count(yv(1997, p)).alias("n0"), F.avg(yv(1997, p)).alias("m0"), F.var_samp(yv(1997, p)).alias("v0"),
-        F.percentile(yv(1998, p), F.lit(0.5)).alias("md1"), F.percentile(yv(1997, p), F.lit(0.5)).alias("md0"),
         F.avg(F.when((F.col("yr") == 1998) & (F.col("mo") > 6), p)).alias("h1"),
         F.avg(F.when((F.col("yr") == 1997) & (F.col("mo") > 6), p)).alias("h0"),
         F.avg(yv(1998, F.col("fin"))).alias("g1"), F.avg(yv(1997, F.col("fin"))).alias("g0"))
+    from prudent.operators.relational import exact_quantiles
+    med = exact_quantiles(o.where(F.col("yr").isin(1997, 1998)), ["run_id", "entity", "yr"], "o_totalprice", [0.5],
+                          names=["md"])
+    med = med.groupBy("run_id", "entity").agg(F.max(F.when(F.col("yr") == 1998, F.col("md"))).alias("md1"),
+                                              F.max(F.when(F.col("yr") == 1997, F.col("md"))).alias("md0"))
+    g = g.join(med, ["run_id", "entity"], "left")
     # history: year-on-year changes of the yearly mean outside the finding's own pair of years
     ym = o.groupBy("run_id", "entity", "yr").agg(F.avg("o_totalprice").alias("m"))
     ym = ym.withColumn("dm", F.col("m") - F.lag("m").over(Window.partitionBy("run_id", "entity").orderBy("yr")))
