@@ -176,9 +176,12 @@ def tail_flag(df: DataFrame, metric: str, q: float = 0.995) -> Column:
 
 def trimmed_mean(df: DataFrame, metric: str, by: list[str], trim: float = 0.1) -> DataFrame:
     """Q11: mean of values between the trim and 1 - trim quantiles."""
-    q = df.groupBy(*by).agg(F.percentile(F.col(metric), F.array(F.lit(trim), F.lit(1 - trim))).alias("__q"))
-    j = df.join(q, by) if by else df.withColumn("__q", q.select("__q").scalar())
-    inside = (F.col(metric) >= F.col("__q")[0]) & (F.col(metric) <= F.col("__q")[1])
+    from prudent.operators.relational import exact_quantiles
+    q = exact_quantiles(df.withColumn(metric, F.col(metric).cast("double")), by, metric, [trim, 1 - trim],
+                        names=["__lo", "__hi"])
+    j = df.join(q, by) if by else df.withColumn("__lo", q.select("__lo").scalar()) \
+        .withColumn("__hi", q.select("__hi").scalar())
+    inside = (F.col(metric) >= F.col("__lo")) & (F.col(metric) <= F.col("__hi"))
     return j.groupBy(*by).agg(F.avg(F.when(inside, F.col(metric))).alias("trimmed_mean"),
                               F.count_if(inside).alias("n_kept"), F.count("*").alias("n"))
 

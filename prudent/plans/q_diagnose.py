@@ -178,12 +178,12 @@ def cycle_time(spark, sf):
     t = Tables(spark, sf)
     j = t.lineitem.join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority", "o_orderdate"),
                         "l_orderkey").withColumn("bd", DG.business_days("o_orderdate", "l_shipdate"))
-    ok = F.when(F.col("bd") >= 0, F.col("bd"))
-    q = F.percentile(ok, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    g = j.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.count_if(F.col("bd") < 0).alias("n_negative"),
-                                         q.alias("q"))
-    return g.select("o_orderpriority", "n", "n_negative", F.round(F.col("q")[1], 6).alias("median_bd"),
-                    F.round(F.col("q")[2] - F.col("q")[0], 6).alias("iqr_bd"))
+    g = j.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.count_if(F.col("bd") < 0).alias("n_negative"))
+    q = R.exact_quantiles(j.where(F.col("bd") >= 0).withColumn("bd", F.col("bd").cast("double")),
+                          ["o_orderpriority"], "bd", [0.25, 0.5, 0.75], names=["q1", "q2", "q3"])
+    g = g.join(q, "o_orderpriority", "left")
+    return g.select("o_orderpriority", "n", "n_negative", F.round("q2", 6).alias("median_bd"),
+                    F.round(F.col("q3") - F.col("q1"), 6).alias("iqr_bd"))
 
 
 @query("d11_oee_fpy", """
@@ -501,11 +501,12 @@ SELECT bin, count(*) AS n, round(quantile_cont(l_extendedprice, 0.5), 6) AS medi
 FROM b GROUP BY bin""")
 def conditional_profile(spark, sf):
     li = Tables(spark, sf).lineitem.withColumn("bin", F.least(F.lit(9), F.floor(F.col("l_discount") * 100)).cast("int"))
-    q = F.percentile(F.col("l_extendedprice"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    g = li.groupBy("bin").agg(F.count("*").alias("n"), q.alias("q"),
+    g = li.groupBy("bin").agg(F.count("*").alias("n"),
                               F.avg(F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0)).alias("rr"))
-    return g.select("bin", "n", F.round(F.col("q")[1], 6).alias("median_y"),
-                    F.round(F.col("q")[2] - F.col("q")[0], 6).alias("iqr_y"), F.round("rr", 6).alias("return_rate"))
+    q = R.exact_quantiles(li, ["bin"], "l_extendedprice", [0.25, 0.5, 0.75], names=["q1", "q2", "q3"])
+    g = g.join(q, "bin")
+    return g.select("bin", "n", F.round("q2", 6).alias("median_y"),
+                    F.round(F.col("q3") - F.col("q1"), 6).alias("iqr_y"), F.round("rr", 6).alias("return_rate"))
 
 
 @query("d26_what_if")

@@ -236,11 +236,11 @@ def temporal_outliers(spark, sf):
 def cohort_cells(t: Tables):
     c = R.cohort_index(t.orders, "o_custkey", "o_orderdate", "quarter")
     size = c.groupBy("cohort").agg(F.count_distinct("o_custkey").alias("cohort_size"))
-    q = F.percentile(F.col("o_totalprice"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    g = c.groupBy("cohort", "age").agg(F.count_distinct("o_custkey").alias("n_active"), q.alias("q"))
-    return g.join(size, "cohort").select(
-        "cohort", "age", "n_active", F.round(F.col("q")[1], 6).alias("median_value"),
-        F.round(F.col("q")[2] - F.col("q")[0], 6).alias("iqr_value"),
+    g = c.groupBy("cohort", "age").agg(F.count_distinct("o_custkey").alias("n_active"))
+    q = R.exact_quantiles(c, ["cohort", "age"], "o_totalprice", [0.25, 0.5, 0.75], names=["q1", "q2", "q3"])
+    return g.join(q, ["cohort", "age"]).join(size, "cohort").select(
+        "cohort", "age", "n_active", F.round("q2", 6).alias("median_value"),
+        F.round(F.col("q3") - F.col("q1"), 6).alias("iqr_value"),
         F.round(F.col("n_active") / F.col("cohort_size"), 6).alias("surviving"))
 
 
