@@ -170,7 +170,9 @@ def outliers(df: DataFrame, id_col: str, metric: str, method: str = "auto", dist
 
 def tail_flag(df: DataFrame, metric: str, q: float = 0.995) -> Column:
     """Q09: above the q-quantile (a scalar subquery)."""
-    cut = df.select(F.percentile(F.col(metric), F.lit(q))).scalar()
+    from prudent.operators.relational import exact_quantiles
+    cut = exact_quantiles(df.select(F.col(metric).cast("double").alias(metric)), [], metric, [q],
+                          names=["__cut"]).select("__cut").scalar()
     return F.col(metric) > cut
 
 
