@@ -1,5 +1,6 @@
 """Every registered query with an oracle, on sf0.001, against DuckDB."""
 import math
+import os
 
 import pytest
 
@@ -9,6 +10,12 @@ import __spark_entry__ as E
 
 ORACLE = E.oracle_sql()
 QUERIES = E.queries()
+# The full sweep (all oracle queries) runs with PRUDENT_FULL_ORACLE=1; by
+# default a deterministic one-in-four sample plus the flagship keeps the
+# suite short.  tools/oracle_check.py runs every query at sf0.01.
+_ALL = sorted(ORACLE)
+CHECKED = _ALL if os.environ.get("PRUDENT_FULL_ORACLE") else \
+    sorted(set(_ALL[::4]) | {E.FLAGSHIP})
 
 
 def _norm(v):
@@ -26,7 +33,7 @@ def _rows(cols, recs):
     return sorted((tuple(_norm(r[i]) for i in order) for r in recs), key=lambda t: [str(x) for x in t])
 
 
-@pytest.mark.parametrize("name", sorted(ORACLE))
+@pytest.mark.parametrize("name", CHECKED)
 def test_query_matches_oracle(spark, duck, name):
     df = QUERIES[name](spark, SF_SMALL)
     got = _rows(df.columns, [tuple(r) for r in df.collect()])
