@@ -683,23 +683,42 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, qs: list[float], b
     """Exact linear-interpolation quantiles (type 7, as ``percentile`` and
     ``quantile_cont``) per group, without holding a group in one buffer.
 
-    Distinct values carry their rank range from ``bucketed_cumcount``; each
-    quantile's two neighbouring order statistics are then picked by one
-    partially-aggregated ``max(when(...))`` per group.  A hot group costs one
-    row per distinct value, spread over value-range buckets."""
+    1. cut each group's values at approximate quantiles into ``buckets``
+       value ranges (a sketch per group);
+    2. count rows per (group, bucket) and accumulate the counts over the
+       buckets (a window over at most ``buckets`` rows per group);
+    3. keep only the buckets that contain a target rank (at most two per
+       quantile) and rank the rows inside those buckets alone.
+    No task holds more than one bucket of one group, and buckets without a
+    target rank are never sorted."""
     by = list(by)
     names = names or [f"q{i}" for i in range(len(qs))]
-    c = bucketed_cumcount(df, by, value, buckets=buckets)
-    n = c.groupBy(*by).agg(F.sum("ties").alias("__n"))
-    c = c.join(n, by) if by else c.withColumn("__n", n.select("__n").scalar())
+    x = df.select(*by, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
+    cuts = [i / buckets for i in range(1, buckets)]
+    bounds = x.groupBy(*by).agg(F.percentile_approx("__v", cuts, 10000).alias("__b"), F.count("*").alias("__n"))
+    if by:
+        xb = x.join(bounds, by)
+    else:
+        xb = x.withColumn("__b", bounds.select("__b").scalar()).withColumn("__n", bounds.select("__n").scalar())
+    xb = xb.withColumn("__bk", F.size(F.filter("__b", lambda b: b < F.col("__v")))).drop("__b")
+    cnt = xb.groupBy(*by, "__bk").agg(F.count("*").alias("__c"), F.first("__n").alias("__n"))
+    w = Window.partitionBy(*by).orderBy("__bk").rowsBetween(Window.unboundedPreceding, 0)
+    cnt = cnt.withColumn("__end", F.sum("__c").over(w)).withColumn("__start", F.col("__end") - F.col("__c"))
+    targets = []
+    for q in qs:
+        h = (F.col("__n") - 1) * F.lit(float(q)) + 1
+        targets += [F.floor(h), F.ceil(h)]
+    need = reduce(lambda a, b: a | b, [(F.col("__start") < r) & (r <= F.col("__end")) for r in targets])
+    tb = cnt.where(need).select(*by, "__bk", "__start")
+    sel = xb.join(tb, by + ["__bk"])
+    rk = F.row_number().over(Window.partitionBy(*by, "__bk").orderBy("__v")) + F.col("__start")
+    sel = sel.withColumn("__r", rk)
     aggs = []
     for j, q in enumerate(qs):
         h = (F.col("__n") - 1) * F.lit(float(q)) + 1
-        for tag, pos in (("lo", F.floor(h)), ("hi", F.ceil(h))):
-            hit = (F.col("below") < pos) & (pos <= F.col("below") + F.col("ties"))
-            aggs.append(F.max(F.when(hit, F.col(value))).alias(f"__{tag}{j}"))
-    aggs.append(F.first("__n").alias("__n"))
-    g = c.groupBy(*by).agg(*aggs)
+        aggs.append(F.max(F.when(F.col("__r") == F.floor(h), F.col("__v"))).alias(f"__lo{j}"))
+        aggs.append(F.max(F.when(F.col("__r") == F.ceil(h), F.col("__v"))).alias(f"__hi{j}"))
+    g = sel.groupBy(*by).agg(*aggs, F.first("__n").alias("__n"))
     out = []
     for j, q in enumerate(qs):
         h = (F.col("__n") - 1) * F.lit(float(q)) + 1
