@@ -549,7 +549,7 @@ def bucketed_cumcount(df: DataFrame, by: list[str], value: str, weight: str | No
     else:
         bv = bounds.select(F.col("__b")).scalar()
         c = cnt.withColumn("__b", bv)
-    c = c.withColumn("__bk", F.size(F.filter("__b", lambda b: b < F.col(value)))).drop("__b")
+    c = c.withColumn("__bk", count_below(F.col("__b"), F.col(value), buckets - 1)).drop("__b")
     tot = c.groupBy(*by, "__bk").agg(F.sum("__w").alias("__bw"))
     wo = Window.partitionBy(*by).orderBy("__bk").rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.withColumn("__off", F.coalesce(F.sum("__bw").over(wo), F.lit(0)))
@@ -678,6 +678,20 @@ def peer_median(df: DataFrame, group: list[str], entity: str, value: str, out: s
     return d.withColumn(out, med).drop("__r", "__n", *picks.keys())
 
 
+def count_below(bounds: Column, v: Column, n: int, lo: int = 0, hi: int | None = None) -> Column:
+    """Number of elements of the ascending array ``bounds`` (length n) below
+    ``v``: a balanced CASE tree (log2 n comparisons, code-generated) instead
+    of a per-row lambda over the whole array."""
+    hi = n if hi is None else hi
+    if hi - lo <= 0:
+        return F.lit(0)
+    if hi - lo == 1:
+        return F.when(bounds[lo] < v, F.lit(1)).otherwise(F.lit(0))
+    mid = (lo + hi) // 2
+    return F.when(bounds[mid] < v, F.lit(mid - lo + 1) + count_below(bounds, v, n, mid + 1, hi)) \
+        .otherwise(count_below(bounds, v, n, lo, mid))
+
+
 def exact_quantiles(df: DataFrame, by: list[str], value: str, qs: list[float], buckets: int = 64,
                     names: list[str] | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles (type 7, as ``percentile`` and
@@ -693,15 +707,17 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, qs: list[float], b
     target rank are never sorted."""
     by = list(by)
     names = names or [f"q{i}" for i in range(len(qs))]
-    x = df.select(*by, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
+    # distinct values with their multiplicity: a hot value is one row
+    x = df.select(*by, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull()) \
+        .groupBy(*by, "__v").agg(F.count("*").alias("__w"))
     cuts = [i / buckets for i in range(1, buckets)]
-    bounds = x.groupBy(*by).agg(F.percentile_approx("__v", cuts, 10000).alias("__b"), F.count("*").alias("__n"))
+    bounds = x.groupBy(*by).agg(F.percentile_approx("__v", cuts, 10000).alias("__b"), F.sum("__w").alias("__n"))
     if by:
         xb = x.join(bounds, by)
     else:
         xb = x.withColumn("__b", bounds.select("__b").scalar()).withColumn("__n", bounds.select("__n").scalar())
-    xb = xb.withColumn("__bk", F.size(F.filter("__b", lambda b: b < F.col("__v")))).drop("__b")
-    cnt = xb.groupBy(*by, "__bk").agg(F.count("*").alias("__c"), F.first("__n").alias("__n"))
+    xb = xb.withColumn("__bk", count_below(F.col("__b"), F.col("__v"), buckets - 1)).drop("__b")
+    cnt = xb.groupBy(*by, "__bk").agg(F.sum("__w").alias("__c"), F.first("__n").alias("__n"))
     w = Window.partitionBy(*by).orderBy("__bk").rowsBetween(Window.unboundedPreceding, 0)
     cnt = cnt.withColumn("__end", F.sum("__c").over(w)).withColumn("__start", F.col("__end") - F.col("__c"))
     targets = []
@@ -711,13 +727,15 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, qs: list[float], b
     need = reduce(lambda a, b: a | b, [(F.col("__start") < r) & (r <= F.col("__end")) for r in targets])
     tb = cnt.where(need).select(*by, "__bk", "__start")
     sel = xb.join(tb, by + ["__bk"])
-    rk = F.row_number().over(Window.partitionBy(*by, "__bk").orderBy("__v")) + F.col("__start")
-    sel = sel.withColumn("__r", rk)
+    wi = Window.partitionBy(*by, "__bk").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    sel = sel.withColumn("__hiR", F.sum("__w").over(wi) + F.col("__start")) \
+        .withColumn("__loR", F.col("__hiR") - F.col("__w"))
     aggs = []
     for j, q in enumerate(qs):
         h = (F.col("__n") - 1) * F.lit(float(q)) + 1
-        aggs.append(F.max(F.when(F.col("__r") == F.floor(h), F.col("__v"))).alias(f"__lo{j}"))
-        aggs.append(F.max(F.when(F.col("__r") == F.ceil(h), F.col("__v"))).alias(f"__hi{j}"))
+        for tag, r in (("lo", F.floor(h)), ("hi", F.ceil(h))):
+            hit = (F.col("__loR") < r) & (r <= F.col("__hiR"))
+            aggs.append(F.max(F.when(hit, F.col("__v"))).alias(f"__{tag}{j}"))
     g = sel.groupBy(*by).agg(*aggs, F.first("__n").alias("__n"))
     out = []
     for j, q in enumerate(qs):
