@@ -17,6 +17,10 @@ TABLES = (
 ).split()
 
 
+#: scratch folder per local application
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app: str = "prudent") -> SparkSession:
     b = SparkSession.builder.appName(app)
@@ -40,27 +44,32 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster.
+    """The shared checkpoint folder named by the cluster in ``spark.checkpoint.dir``.
 
-    Read ``spark.checkpoint.dir`` from the session; only when it is unset
-    (tests, a laptop) is a private scratch folder created and registered.
+    Where it is unset, a local session (tests, a laptop: driver and executors
+    are one machine) gets a scratch folder of its own; any other session is
+    told to set it, as executors could not see the driver's folder.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="prudent-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return d
+    if d:
+        return d
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="prudent-ckpt-")
+    return _LOCAL_DIRS[app]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss); never a local one."""
-    checkpoint_dir(df.sparkSession)
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
     return df.checkpoint(eager=True)
 
 
