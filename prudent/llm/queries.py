@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prudent.llm import minhash
+from prudent.llm import embeddings, minhash
 from prudent.llm.common import read
 
 QUERIES: dict = {}
@@ -24,3 +24,30 @@ def _query(name: str, sql: str | None = None):
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate documents over two-word shingles, similarity 0.8."""
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), shingle_words=2)
+
+
+_OP10_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM embeddings
+), ok AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0
+     AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0
+     AND len(list_filter(e, x -> x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS u, b.vec_id AS w FROM ok a JOIN ok b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (
+  SELECT vec_id AS node, vec_id AS root FROM v
+  UNION
+  SELECT l.w, r.root FROM reach r JOIN links l ON l.u = r.node
+), comp AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node),
+n AS (SELECT u, count(*) AS n_links FROM links GROUP BY u)
+SELECT v.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v LEFT JOIN n ON n.u = v.vec_id LEFT JOIN comp c ON c.node = v.vec_id
+"""
+
+
+@_query("op10_embedding_near_duplicates", _OP10_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of one label linked by cosine 0.93 or more."""
+    return embeddings.near_duplicate_vectors(read(spark, sf_dir, "embeddings"))
