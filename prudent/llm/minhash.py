@@ -9,10 +9,11 @@ The work stays linear in the documents and in the links, and no bucket is expand
 1.  Documents with equal shingle sets form one class, represented by its smallest id.
 2.  Every representative is compared with the smallest one of each of its buckets (a star, not
     all pairs), on full sets; connected components of those links give labels.
-3.  What a star cannot decide are buckets that still hold several labels.  For every pair of labels
-    that meet in a bucket, the documents of the smaller one are compared with the blocks of the
-    larger one inside a vectorised kernel, which emits links between labels only.  A block holds at
-    most ``BLOCK`` documents and streams its queries, so no task holds an unbounded group.
+3.  What a star cannot decide are buckets that still hold several labels.  Documents that meet a
+    large label (more than ``SMALL_LABEL`` documents) are compared with all of it, block by block;
+    documents of small labels are compared inside their buckets, again block by block.  A vectorised
+    kernel holds one block of about ``BLOCK`` documents, streams the queries that are dealt to it and
+    emits links between labels only, so neither pairs nor groups pile up anywhere.
 4.  Components of all links.
 """
 
@@ -29,8 +30,8 @@ from prudent.llm.shingles import _WordHashes, band_keys, min_max_signatures, shi
 from prudent.operators.graph import connected_components
 
 N_HASHES, ROWS, SEED = 64, 4, 20_240_229
-#: documents of a block, and queries that one copy of a block sees, in step 3
-BLOCK, QUERIES = 512, 4096
+#: documents of a block, queries that one copy of a block sees, and documents of a small label, in step 3
+BLOCK, QUERIES, SMALL_LABEL = 512, 4096, 64
 
 _SIG = "doc_id long, n_shingles long, fp binary, bands array<long>"
 
@@ -68,49 +69,54 @@ def _sets(k: int):
 
 
 def _shingle_sets(base: DataFrame, ids: DataFrame, k: int, label: str) -> DataFrame:
-    """Full sets of the documents named in ``ids`` (one column ``doc_id``), one row per (id, set)."""
+    """Full sets of the documents named in ``ids`` (one column ``doc_id``), one row per input row."""
     rows = keep_ids(base, ids.select(F.col("doc_id").alias("__id")).distinct(), "doc_id", "__id")
-    return staged(rows.mapInArrow(_sets(k), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), label)
+    return staged(rows.mapInArrow(_sets(k), "doc_id long, shingles array<long>"), label)
 
 
 def _block_links(percent: int):
-    """Kernel of step 3: rows sorted by (large, block, salt, side); side 0 are a block's sets, side 1 its queries."""
+    """Kernel of step 3: rows sorted by (kind, spot, block, salt, side); side 0 is a block, side 1 its queries.
+
+    Emits the pairs of labels between which it finds a link, not the pairs of documents.
+    """
     def run(batches):
-        key = None
+        key = block = None
         members: list = []
-        block = None
+        labels: list = []
         out: set = set()
 
         def prepare():
-            values = np.concatenate(members)
             sizes = np.array([len(m) for m in members])
-            vocabulary, ids = np.unique(values, return_inverse=True)
-            return vocabulary, ids, np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes
+            vocabulary, ids = np.unique(np.concatenate(members), return_inverse=True)
+            return vocabulary, ids, np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes, np.array(labels), len(set(labels)) == 1
 
         for batch in batches:
-            larges, spots, salts, sides, smalls = (batch.column(i).to_pylist() for i in range(5))
-            lists = batch.column(5)
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(4))))
+            sides, names = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            lists = batch.column(6)
             values, ends = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
             ends = ends - ends[0]
             for i in range(batch.num_rows):
-                if (larges[i], spots[i], salts[i]) != key:
-                    key, members, block = (larges[i], spots[i], salts[i]), [], None
+                if keys[i] != key:
+                    key, members, labels, block = keys[i], [], [], None
                 own = values[ends[i]:ends[i + 1]]
                 if sides[i] == 0:
                     members.append(own)
+                    labels.append(names[i])
+                    continue
+                if not members:
                     continue
-                if not members or (smalls[i], larges[i]) in out:
+                block = block or prepare()
+                vocabulary, ids, starts, sizes, whose, single = block
+                if single and (names[i] == labels[0] or (names[i], labels[0]) in out):
                     continue
-                if block is None:
-                    block = prepare()
-                vocabulary, ids, starts, sizes = block
                 at = np.searchsorted(vocabulary, own)
                 at[at == len(vocabulary)] = 0
-                mark = np.zeros(len(vocabulary), np.int64)
+                mark = np.zeros(len(vocabulary), np.int32)
                 mark[at[vocabulary[at] == own]] = 1
                 both = np.add.reduceat(mark[ids], starts)
-                if np.any(100 * both >= percent * (sizes + len(own) - both)):
-                    out.add((smalls[i], larges[i]))
+                linked = (100 * both >= percent * (sizes + len(own) - both)) & (whose != names[i])
+                out.update((names[i], int(x)) for x in np.unique(whose[linked]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()),
                                                   pa.array([x[1] for x in out], pa.int64())], names=["u", "v"])
@@ -118,31 +124,28 @@ def _block_links(percent: int):
     return run
 
 
-def _contested(buckets: DataFrame, heads: DataFrame, labels: DataFrame, bands: DataFrame) -> DataFrame:
-    """Pairs of labels that meet in a bucket and that the star step hasn't compared in full: (small, large).
+def _undecided(shared: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the stars leave open: (small, large) labels that meet in a bucket, and bucket rows of small labels.
 
-    ``labels``: rep, label, size for linked documents.  A bucket's documents are first reduced to
-    its labels; a label of one document that is the bucket's head has been compared with all.  Two
-    single documents are paired only in the first bucket that they share.
+    A bucket's head has been compared with everyone in it.  Among the others, a label of more than
+    ``SMALL_LABEL`` documents is a ``large`` one and is compared as a whole; documents of small
+    labels are compared inside the buckets that hold several of them.
     """
-    rows = (buckets.join(labels.withColumnRenamed("rep", "__rep"), F.col("rep") == F.col("__rep"), "left")
-            .select("key", "rep", F.coalesce("label", "rep").alias("label"), F.coalesce("size", F.lit(1)).alias("size")))
-    per = rows.groupBy("key", "label").agg(F.count("*").alias("n"), F.min("rep").alias("rep"), F.max("size").alias("size"))
-    per = per.join(heads.select(F.col("key").alias("hkey"), "head"), F.col("key") == F.col("hkey"), "inner") \
-             .where("NOT (n = 1 AND rep = head)").select("key", "label", "size", "rep")
-    crowded = per.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select(F.col("key").alias("ckey"))
-    per = staged(per.join(crowded, F.col("key") == F.col("ckey"), "left_semi"), "contested")
-    own = bands.select(F.col("rep").alias("brep"), "bands")
-    per = per.join(own, (F.col("rep") == F.col("brep")) & (F.col("size") == 1), "left").select("key", "label", "size", "bands")
-    a = per.select("key", F.col("label").alias("la"), F.col("size").alias("sa"), F.col("bands").alias("ba"))
-    b = per.select(F.col("key").alias("kb"), F.col("label").alias("lb"), F.col("size").alias("sb"), F.col("bands").alias("bb"))
-    once = (F.col("ba").isNull() | F.col("bb").isNull()
-            | (F.element_at(F.array_intersect("ba", "bb"), 1) == F.col("key")))
-    pairs = a.join(b, (F.col("key") == F.col("kb")) & (F.col("la") < F.col("lb")) & once)
-    larger = (F.col("sb") >= F.col("sa"))
-    return pairs.select(F.when(larger, F.col("la")).otherwise(F.col("lb")).alias("small"),
-                        F.when(larger, F.col("lb")).otherwise(F.col("la")).alias("large"),
-                        F.greatest("sa", "sb").alias("size")).distinct()
+    sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
+    named = labels.join(sizes, "label").select(F.col("rep").alias("lrep"), "label", "size")
+    rows = staged(shared.where("rep <> head").join(named, F.col("rep") == F.col("lrep"), "left")
+                  .select("key", "rep", F.coalesce("label", "rep").alias("label"),
+                          F.coalesce("size", F.lit(1)).alias("size")), "open-buckets")
+    small = rows.where(F.col("size") <= SMALL_LABEL)
+    crowded = small.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("docs"))
+    crowded = crowded.where("a < b").select(F.col("key").alias("ckey"), "docs")
+    small = small.join(crowded, F.col("key") == F.col("ckey")).select("key", "rep", "label", "docs")
+    large = rows.where(F.col("size") > SMALL_LABEL).select(F.col("key").alias("lkey"), F.col("label").alias("large"), "size").distinct()
+    pairs = (rows.select("key", F.col("label").alias("small"), F.col("size").alias("small_size")).distinct()
+             .join(large, (F.col("key") == F.col("lkey")) & (F.col("small") != F.col("large"))
+                   & ((F.col("small_size") <= SMALL_LABEL) | (F.col("small") < F.col("large"))))
+             .select("small", "large", "size").distinct())
+    return staged(pairs, "open-labels"), staged(small, "open-small")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5,
@@ -154,7 +157,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Cases: a null or empty text, or one without words, has no shingles and links with nothing.  A
     row with a null id can't be named: it links with nothing, its component is null and it is kept.
-    Repeated rows of one id give one output row each, with the same values when the texts are equal.
+    Rows that share an id are one document: each gives an output row, with its own ``n_shingles``, and
+    the document links through any of its texts.
     Ties don't arise (the smallest id stands for a group).  Other columns of ``docs`` are ignored,
     whatever their names.  An empty table gives an empty result.
     """
@@ -165,8 +169,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # 1. one class per shingle set
     classes = staged(linkable.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")),
                      "classes")
-    bands = classes.select("rep", "bands").dropDuplicates(["rep"])
-
     # 2. stars
     buckets = classes.select("rep", F.explode("bands").alias("key"))
     heads = staged(buckets.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last"))
@@ -183,35 +185,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .where(100 * both >= percent * (F.size("a_set") + F.size("b_set") - both))
         .select(F.col("head").alias("u"), F.col("rep").alias("v")), "links")
     labels = staged(connected_components(links).select(F.col("node").alias("rep"), F.col("component").alias("label")), "labels")
-    sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
-    sized = labels.join(sizes, "label")
 
     # 3. labels that still meet in a bucket
-    pairs = staged(_contested(shared.select("key", "rep"), heads, sized, bands), "pairs")
+    pairs, small = _undecided(shared, labels)
+    named = labels.select(F.col("rep").alias("lrep"), F.col("label").alias("of"))
+    meet = pairs.select(F.col("small").alias("label")).unionByName(pairs.select(F.col("large").alias("label"))).distinct()
+    docs_of = staged(meet.join(named, F.col("label") == F.col("of"), "left")
+                     .select("label", F.coalesce("lrep", "label").alias("doc_id")), "open-members")
+    own = _shingle_sets(base, docs_of.select("doc_id").unionByName(small.select(F.col("rep").alias("doc_id"))),
+                        shingle_words, "open-sets")
     per_large = pairs.groupBy("large").agg(F.count("*").alias("queries"), F.max("size").alias("size"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("long")
-    names = staged(pairs.select(F.col("small").alias("label")).unionByName(pairs.select(F.col("large").alias("label")))
-                   .distinct(), "names")
-    docs_of = staged(names.join(labels.withColumnRenamed("label", "l"), F.col("label") == F.col("l"), "left")
-                     .select("label", F.coalesce("rep", "label").alias("doc_id")), "members")
-    own = _shingle_sets(base, docs_of.select("doc_id"), shingle_words, "contested-sets")
-    have = docs_of.join(own, "doc_id")
-    salts = F.ceil(F.col("queries") / QUERIES).cast("long")
     zero = F.lit(0).cast("long")
-    cols = ["large", "block", "salt", "side", "small", "shingles"]
-    member_rows = (have.join(per_large, F.col("label") == F.col("large"))
-                   .select("large", F.pmod(F.xxhash64("doc_id"), blocks).alias("block"),
-                           F.explode(F.sequence(zero, salts - 1)).alias("salt"),
-                           F.lit(0).alias("side"), F.col("large").alias("small"), "shingles"))
-    query_rows = (have.join(pairs.select("small", "large").join(per_large, "large"), F.col("label") == F.col("small"))
-                  .select("large", F.explode(F.sequence(zero, blocks - 1)).alias("block"),
-                          F.pmod(F.xxhash64("small"), salts).alias("salt"), F.lit(1).alias("side"), "small", "shingles"))
-    more = (member_rows.unionByName(query_rows).repartition("large", "block", "salt")
-            .sortWithinPartitions("large", "block", "salt", "side").select(cols)
-            .mapInArrow(_block_links(percent), "u long, v long").distinct())
-
-    # 4. components of all links
-    links = staged(labels.select(F.col("rep").alias("u"), F.col("label").alias("v")).unionByName(more), "all-links")
+    blocks, salts = F.ceil(F.col("size") / BLOCK).cast("long"), F.ceil(F.col("queries") / QUERIES).cast("long")
+    chunks = F.ceil(F.col("docs") / BLOCK).cast("long")
+    have, small = docs_of.join(own, "doc_id"), small.join(own, F.col("rep") == F.col("doc_id"))
+    parts = [
+        have.join(per_large, F.col("label") == F.col("large"))
+        .select(F.lit(0).alias("kind"), F.col("large").alias("spot"), F.pmod(F.xxhash64("doc_id"), blocks).alias("block"),
+                F.explode(F.sequence(zero, salts - 1)).alias("salt"), F.lit(0).alias("side"), "label", "shingles"),
+        have.join(pairs.select("small", "large").join(per_large, "large"), F.col("label") == F.col("small"))
+        .select(F.lit(0).alias("kind"), F.col("large").alias("spot"), F.explode(F.sequence(zero, blocks - 1)).alias("block"),
+                F.pmod(F.xxhash64("small"), salts).alias("salt"), F.lit(1).alias("side"), "label", "shingles"),
+        small.select(F.lit(1).alias("kind"), F.col("key").alias("spot"), F.pmod(F.xxhash64("rep"), chunks).alias("block"),
+                     zero.alias("salt"), F.lit(0).alias("side"), "label", "shingles"),
+        small.select(F.lit(1).alias("kind"), F.col("key").alias("spot"), F.explode(F.sequence(zero, chunks - 1)).alias("block"),
+                     zero.alias("salt"), F.lit(1).alias("side"), "label", "shingles")]
+    keys = ["kind", "spot", "block", "salt"]
+    more = (parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).repartition(*keys)
+            .sortWithinPartitions(*keys, "side").mapInArrow(_block_links(percent), "u long, v long").distinct())
+
+    # 4. components of all links; texts that share an id belong together
+    several = (linkable.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b")
+               .select(F.col("doc_id").alias("sid")))
+    same = (linkable.select("doc_id", "fp").join(several, F.col("doc_id") == F.col("sid"), "left_semi")
+            .join(classes.select(F.col("fp").alias("cfp"), "rep"), F.col("fp") == F.col("cfp"))
+            .select(F.col("rep").alias("u"), F.col("doc_id").alias("v")))
+    links = staged(labels.select(F.col("rep").alias("u"), F.col("label").alias("v")).unionByName(more).unionByName(same), "all-links")
     final = staged(connected_components(links), "components")
     named = classes.select(F.col("fp").alias("cfp"), "rep").join(final, F.col("rep") == F.col("node"), "left") \
                    .select("cfp", F.coalesce("component", "rep").alias("component"))
