@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prudent.llm import embeddings, minhash
+from prudent.llm import embeddings, minhash, packing, tokenfile
 from prudent.llm.common import read
 
 QUERIES: dict = {}
@@ -51,3 +51,15 @@ FROM v LEFT JOIN n ON n.u = v.vec_id LEFT JOIN comp c ON c.node = v.vec_id
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of one label linked by cosine 0.93 or more."""
     return embeddings.near_duplicate_vectors(read(spark, sf_dir, "embeddings"))
+
+
+@_query("op7_token_files")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-plane token files of all documents, written and read back."""
+    return tokenfile.token_files(read(spark, sf_dir, "documents"))
+
+
+@_query("op6_best_fit_packing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 1024 tokens."""
+    return packing.pack_documents(read(spark, sf_dir, "documents"))
