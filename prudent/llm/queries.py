@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prudent.llm import embeddings, minhash, packing, tokenfile
+from prudent.llm import embeddings, minhash, packing, tokenfile, urls
 from prudent.llm.common import read
 
 QUERIES: dict = {}
@@ -63,3 +63,44 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 1024 tokens."""
     return packing.pack_documents(read(spark, sf_dir, "documents"))
+
+
+_OP1_SQL = r"""
+WITH h AS (
+  SELECT page_id, coalesce(url, '') AS url,
+         translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), r AS (
+  SELECT *, translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+    CASE WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+         WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+         WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+         WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+         WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule
+  FROM h
+), m AS (
+  SELECT *, CASE
+    WHEN rule IS NOT NULL THEN rule
+    WHEN regexp_matches(low, '/casino/history([^a-z0-9%_.\-]|$)') THEN '/casino/history^'
+    WHEN regexp_matches(low, '\.exe$') THEN '*.exe|'
+    WHEN contains(low, '/casino/') THEN '/casino/'
+    WHEN regexp_matches(low, '/poker([^a-z0-9%_.\-]|$)') THEN '/poker^'
+    WHEN contains(low, '/wp-login.php') THEN '/wp-login.php'
+    WHEN regexp_matches(low, '://ads\..*/banner([^a-z0-9%_.\-]|$)') THEN '://ads.*/banner^'
+    WHEN regexp_matches(low, '[^a-z0-9%_.\-]sessionid=') THEN '^sessionid='
+    WHEN regexp_matches(low, '^[a-z][a-z0-9+.\-]*://([^/?#]*\.)?spam-farm\.example\.net([^a-z0-9%_.\-]|$)') THEN '||spam-farm.example.net^'
+    WHEN regexp_matches(low, '^[a-z][a-z0-9+.\-]*://([^/?#]*\.)?spam-farm\.example\.org([^a-z0-9%_.\-]|$)') THEN '||spam-farm.example.org^'
+    END AS matched FROM r
+)
+SELECT page_id, host, path, rule, matched,
+  CASE WHEN matched IS NULL OR matched IN ('com/', 'www.example.com/en/', '/casino/history^') THEN 'allow' ELSE 'block' END AS verdict
+FROM m
+"""
+
+
+@_query("op1_url_filters", _OP1_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of the host and pattern rules on every page's URL."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge(pages, urls.DEFAULT_RULES).select("page_id", "host", "path", "rule", "verdict", "matched")
