@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from prudent.llm import embeddings, minhash, packing, tokenfile, urls
+from prudent.llm import embeddings, minhash, packing, pii, tokenfile, urls
 from prudent.llm.common import read
 
 QUERIES: dict = {}
@@ -104,3 +105,16 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of the host and pattern rules on every page's URL."""
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judge(pages, urls.DEFAULT_RULES).select("page_id", "host", "path", "rule", "verdict", "matched")
+
+
+#: key of the registered query; a deployment passes its own
+PII_KEY = "registered-query-key"
+
+
+@_query("op2_pii_pseudonyms")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data under pseudonyms, and the kinds that were found."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    kinds = pii.found_kinds(F.col("text"))
+    return docs.select("doc_id", pii.pseudonymised(F.col("text"), PII_KEY).alias("text"), kinds.alias("kinds")) \
+               .withColumn("n_found", F.size("kinds"))
