@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prudent.llm import embeddings, minhash, packing, pii, tokenfile, urls
+from prudent.llm import embeddings, langid, minhash, packing, pii, quality, tokenfile, urls
 from prudent.llm.common import read
 
 QUERIES: dict = {}
@@ -118,3 +118,19 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = pii.found_kinds(F.col("text"))
     return docs.select("doc_id", pii.pseudonymised(F.col("text"), PII_KEY).alias("text"), kinds.alias("kinds")) \
                .withColumn("n_found", F.size("kinds"))
+
+
+@_query("op4_quality_rules")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the learned list's verdict on every document."""
+    docs = read(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
+
+
+@_query("op5_language_id")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; the held-out fold is not learned from."""
+    docs = read(spark, sf_dir, "documents")
+    fold = langid.held_out(F.col("doc_id"))
+    return (langid.identify(docs, langid.fit(docs.where(~fold)))
+            .select("doc_id", fold.alias("held_out"), "lang_pred", "score"))
