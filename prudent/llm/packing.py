@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prudent.llm.common import staged
-from prudent.llm.tokens import Encoder, vocabulary_path
+from prudent.llm.tokens import encoder as shared_encoder
+from prudent.llm.tokens import vocabulary_path
 
 CAPACITY, END_ID, GROUPS, SMALL = 1024, 2, 64, 5
 #: pieces that are ranked in one window
@@ -178,7 +179,7 @@ def _cut(path: str, capacity: int, end_id: int, with_ids: bool):
     schema = pa.schema(fields + [("ids", pa.binary())] * with_ids)
 
     def run(batches):
-        encoder = Encoder(path)
+        encoder = shared_encoder(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 names = batch.column(0).slice(at, 512).to_pylist()

@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prudent.llm.common import shared_path, staged
-from prudent.llm.tokens import Encoder, vocabulary_path
+from prudent.llm.tokens import encoder as shared_encoder
+from prudent.llm.tokens import vocabulary_path
 
 MAGIC, BLOCK, LEVEL = b"PLANES01", 1 << 16, 3
 #: bytes of text of a shard, about
@@ -167,7 +168,7 @@ def _write(root: str, path: str, end_id: int, bits: bool):
             if not batch.num_rows:
                 continue
             if writer is None:
-                encoder = Encoder(path)
+                encoder = shared_encoder(path)
                 fs, folder = filesystem(root)
                 fs.create_dir(folder, recursive=True)
                 name = f"{uuid.uuid4().hex}.planes"

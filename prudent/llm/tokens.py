@@ -8,14 +8,21 @@ kept in a bounded cache.  Runs of white space stay inside a piece.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 
 import numpy as np
 
-#: white space in a row or at an end: then not every single space is a safe cut
-_UNSAFE = re.compile(r"\s\s|^\s|\s\Z")
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
+_ASCII_ODD = "\t\v\f\r\x1c\x1d\x1e\x1f"
+_ODD = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def _plain(text: str) -> bool:
+    """Whether every space stands between two characters that aren't white space (told by quick tests; no is safe)."""
+    return not (text[0].isspace() or text[-1].isspace() or "  " in text or " \n" in text or "\n " in text
+                or any(c in text for c in _ASCII_ODD) or (not text.isascii() and _ODD.search(text)))
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -30,7 +37,7 @@ class Encoder:
     younger is full, so frequent pieces stay and memory is bounded.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 700_000):
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -40,15 +47,17 @@ class Encoder:
         #: any other stands after a space
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.line_end = self._ids("\n")
-        self.newline = self.line_end[0] if len(self.line_end) == 1 else None
+        #: ids of a punctuation mark that follows letters
+        self.points = {c: np.array(self._ids(c), "<u4").tobytes() for c in ".,;:!?"}
+        line_end = self._ids("\n")
+        self.newline = line_end[0] if len(line_end) == 1 else None
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     @staticmethod
     def _cut(text: str) -> list[str]:
-        pieces = _SAFE_CUT.split(text) if _UNSAFE.search(text) else text.split(" ")
+        pieces = text.split(" ") if _plain(text) else _SAFE_CUT.split(text)
         pieces[0] = " " + pieces[0]
         return pieces
 
@@ -59,13 +68,23 @@ class Encoder:
     def _encode_new(self, pieces: list[str]) -> None:
         """Put the ids of new pieces in the cache.
 
-        Pieces without inner white space are encoded as lines of one text: a line end is a pre-token
+        Letters and one punctuation mark after them are two pre-tokens, so the bare word is encoded.
+    Pieces without inner white space are encoded as lines of one text: a line end is a pre-token
         of its own there, so its id parts the lines.  Others are encoded one by one.
         """
-        lines, single = [], []
+        lines, single, pointed = [], [], []
         for p in pieces:
             core = p[1:] if p[0] == " " else p
-            (lines if self.newline is not None and core.split() == [core] and "<|" not in core else single).append(p)
+            if core[-1:] in self.points and core[:-1].isalpha():
+                pointed.append(p)
+            elif self.newline is not None and core.split() == [core] and "<|" not in core:
+                lines.append(p)
+            else:
+                single.append(p)
+        bare = {p[:-1] for p in pointed}.difference(self.cache, lines)
+        for p in bare.intersection(self.old):
+            self.cache[p] = self.old[p]
+        lines += bare.difference(self.old)
         for at in range(0, len(lines), 5000):
             part = lines[at:at + 5000]
             ids = np.array(self._ids("\n".join([self._as_text(p) for p in part])), "<u4")
@@ -75,20 +94,29 @@ class Encoder:
             for piece, end in zip(part, ends.tolist(), strict=True):
                 self.cache[piece] = raw[start:end]
                 start = end + 4
+        for p in pointed:
+            self.cache[p] = self.cache[p[:-1]] + self.points[p[-1]]
         for p in single:
             self.cache[p] = np.array(self._ids(self._as_text(p)), "<u4").tobytes()
 
     def _raw(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self._cut(t) if t else [] for t in texts]
+        flat: list[str] = []
+        ends = [0]
+        for t in texts:
+            if t:
+                flat += self._cut(t)
+            ends.append(len(flat))
         if len(self.cache) > self.limit:
             self.cache, self.old = {}, self.cache
-        cache, old = self.cache, self.old
-        missing = {p for pieces in cut for p in pieces}.difference(cache)
-        known = missing.intersection(old) if old else ()
-        for p in known:
-            cache[p] = old[p]
-        self._encode_new(list(missing.difference(known)))
-        return [b"".join([cache[p] for p in pieces]) for pieces in cut]
+        got = list(map(self.cache.get, flat))
+        lack = [i for i, x in enumerate(got) if x is None]
+        missing = {flat[i] for i in lack}
+        for p in missing.intersection(self.old):
+            self.cache[p] = self.old[p]
+        self._encode_new(list(missing.difference(self.cache)))
+        for i in lack:
+            got[i] = self.cache[flat[i]]
+        return [b"".join(got[a:b]) for a, b in zip(ends, ends[1:])]
 
     def encode_batch(self, texts: list[str | None], step: int = 512) -> list[np.ndarray]:
         """Ids of every text (null: none) as unsigned 32-bit integers."""
@@ -96,3 +124,9 @@ class Encoder:
         for at in range(0, len(texts), step):
             out += [np.frombuffer(b, "<u4") for b in self._raw(texts[at:at + step])]
         return out
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """The encoder of a Python worker: its cache outlives a task."""
+    return Encoder(path)
