@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prudent.llm import embeddings, langid, minhash, packing, pii, quality, tokenfile, urls
+from prudent.llm import embeddings, langid, minhash, mixing, packing, pii, quality, tokenfile, urls
 from prudent.llm.common import read
 
 QUERIES: dict = {}
@@ -134,3 +134,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = langid.held_out(F.col("doc_id"))
     return (langid.identify(docs, langid.fit(docs.where(~fold)))
             .select("doc_id", fold.alias("held_out"), "lang_pred", "score"))
+
+
+@_query("op8_source_mixing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raked weight, inclusion probability and draw of every document."""
+    return mixing.mix(read(spark, sf_dir, "documents"), mixing.default_margins())
