@@ -1,4 +1,4 @@
-"""Corpus pipeline: quality rules, near-duplicates, PII, mixing, packing.
+"""Corpus pipeline: quality rules, near-duplicates, personal data, mixing, packing.
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor kept; all but the
 last return the columns of ``documents``.
@@ -9,23 +9,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prudent.llm import minhash
-from prudent.llm.common import read, shared_path
+from prudent.llm import minhash, mixing, packing, pii, quality
+from prudent.llm.common import keep_ids, read, shared_path
+
+#: key of the pseudonyms; a deployment passes its own
+PII_KEY = "corpus-pipeline-key"
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base or the list learned from ``labels`` rejects go."""
+    return quality.keep_good(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8) stays.
 
-    Rows with a null id can't be in a group and stay.
+    Rows without an id can't be named as copies and stay; repeated rows of a kept id stay together.
     """
     gone = (minhash.near_duplicates(docs, shingle_words=5).where("NOT kept")
             .select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return keep_ids(docs, gone, "doc_id", "__gone", "left_anti")
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and secrets give way to pseudonyms; ``n_chars`` follows the text."""
+    return pii.pseudonymise(docs, PII_KEY, "text", "n_chars")
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn so that sources, languages and forms meet their target shares of tokens."""
+    return mixing.sample(docs, mixing.default_margins())
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the tokenised documents with their sequence of at most 1024 ids and place in it."""
+    return packing.pack_documents(docs)
 
 
-STAGES = [("near_duplicates", near_duplicate_stage)]
+STAGES = [("quality_rules", quality_stage), ("minhash_near_dedup", near_duplicate_stage), ("pii", pii_stage),
+          ("source_mixing", mixing_stage), ("best_fit_packing", packing_stage)]
 
-#: the quality rules are learned, components are iterative and tokens are a tokenizer's: not SQL
+#: the list is learned, components are iterative and ids are a tokenizer's: not SQL
 ORACLE_SQL = None
 
 

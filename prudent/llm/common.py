@@ -34,11 +34,14 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def keep_ids(df: DataFrame, ids: DataFrame, df_id: str, id_col: str) -> DataFrame:
-    """Rows of ``df`` whose id is in ``ids`` (distinct, not null); broadcast only below a checked count."""
+def keep_ids(df: DataFrame, ids: DataFrame, df_id: str, id_col: str, how: str = "left_semi") -> DataFrame:
+    """Rows of ``df`` whose id is in ``ids`` (distinct, not null; ``how="left_anti"``: is not).
+
+    The ids are broadcast only below a checked count; beyond it the join shuffles both sides.
+    """
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return df.join(ids, F.col(df_id) == F.col(id_col), "left_semi")
+    return df.join(ids, F.col(f"`{df_id}`") == F.col(id_col), how)
 
 
 def fraction_of(*cols: Column | str, seed: int = 0) -> Column:

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from prudent.llm.common import BROADCAST_IDS, fraction_of
 
@@ -96,8 +97,9 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                            + ", ".join(f"{c} double" for c in FEATURES))
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+def base_failed(prefix: str = "") -> Column:
+    words, repeated = F.col(prefix + "n_words"), F.col(prefix + "n_repeat_words")
+    return (words < 50) | (100 * repeated > 50 * words)
 
 
 class Condition(NamedTuple):
@@ -108,8 +110,9 @@ class Condition(NamedTuple):
     def holds(self, x: dict[str, np.ndarray]) -> np.ndarray:
         return x[self.feature] >= self.value if self.at_least else x[self.feature] <= self.value
 
-    def column(self) -> Column:
-        return F.col(self.feature) >= self.value if self.at_least else F.col(self.feature) <= self.value
+    def column(self, prefix: str = "") -> Column:
+        feature = F.col(prefix + self.feature)
+        return feature >= self.value if self.at_least else feature <= self.value
 
 
 def _covers(rule: list[Condition], x: dict[str, np.ndarray], n: int) -> np.ndarray:
@@ -181,13 +184,13 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = PRECISIO
         left = left[~_covers(rule, {k: v[left] for k, v in x.items()}, len(left))]
 
 
-def verdict(rules: list[list[Condition]]) -> Column:
+def verdict(rules: list[list[Condition]], prefix: str = "") -> Column:
     """The list as one conditional expression: the number of the first rule that rejects, else null."""
     out = F.lit(None).cast("int")
     for i, rule in reversed(list(enumerate(rules))):
-        test = rule[0].column()
+        test = rule[0].column(prefix)
         for c in rule[1:]:
-            test = test & c.column()
+            test = test & c.column(prefix)
         out = F.when(test, F.lit(i)).otherwise(out)
     return out
 
@@ -229,3 +232,28 @@ def judge(docs: DataFrame, rules: list[list[Condition]], id_col: str = "doc_id",
     rows = measure(docs, id_col, text_col).withColumn("base_failed", base_failed()).withColumn("rejected_by", verdict(rules))
     return rows.select("doc_id", *BASE, "base_failed", F.when(~F.col("base_failed"), F.col("rejected_by")).alias("rejected_by"),
                        (~F.col("base_failed") & F.col("rejected_by").isNull()).alias("kept"))
+
+
+def keep_good(docs: DataFrame, rules: list[list[Condition]], text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that neither the base nor the list rejects, with their columns as they are.
+
+    Statistics stand beside the row's own columns under a prefix that none of them has, so nothing is joined and
+    rows with null or repeated ids are judged one by one; cases as in ``judge``.
+    """
+    prefix = "__q"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    at = docs.columns.index(text_col)
+    extra = [prefix + c for c in BASE + FEATURES]
+    schema = T.StructType(docs.schema.fields + [T.StructField(c, T.DoubleType()) for c in extra])
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1000):
+                part = batch.slice(i, 1000)
+                rows = np.array([statistics(t.as_py()) for t in part.column(at)], float).T
+                yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(c) for c in rows]], names=[*docs_names, *extra])
+
+    docs_names = list(docs.columns)
+    measured = docs.mapInArrow(run, schema)
+    return measured.where(~base_failed(prefix) & verdict(rules, prefix).isNull()).select(*[F.col(f"`{c}`") for c in docs_names])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prudent.llm import embeddings, langid, minhash, mixing, packing, pii, quality, tokenfile, urls
+from prudent.llm import embeddings, langid, minhash, mixing, packing, pii, quality, tokenfile, unigram, urls
 from prudent.llm.common import read
 
 QUERIES: dict = {}
@@ -140,3 +140,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raked weight, inclusion probability and draw of every document."""
     return mixing.mix(read(spark, sf_dir, "documents"), mixing.default_margins())
+
+
+@_query("op9_token_counts")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token counts of every document."""
+    return unigram.token_counts(read(spark, sf_dir, "documents"))
