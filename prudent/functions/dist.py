@@ -6,9 +6,9 @@ group), so the CDF is evaluated as a column expression on that row: it stays
 in the DataFrame, works per group, and never goes through the driver.
 
 Every builder takes SQL text for its arguments and a dialect ("spark" or
-"duckdb") and returns SQL text.  Spark uses it through ``F.expr``; the
-oracle SQL embeds the same text, so both sides run the same numerics and
-unit tests pin the numerics against published table values.
+"duckdb") and returns SQL text.  Spark uses it through ``F.expr``.  In the
+oracle SQL the tails are numeric integrals of the densities, so the two
+sides check each other; unit tests pin both against published values.
 
 Numerics: Lanczos log-gamma (g = 7, 9 terms); regularised incomplete beta
 by the modified Lentz continued fraction; regularised incomplete gamma by
@@ -113,7 +113,7 @@ def betainc(a: str, b: str, x: str, dialect: str = SPARK) -> str:
     fast: I_x(a, b) = 1 - I_{1-x}(b, a)."""
     va, vb, vx = _fresh("za"), _fresh("zb"), _fresh("zx")
     fl, p, q, y = _fresh("zf"), _fresh("zp"), _fresh("zq"), _fresh("zy")
-    iters = f"least(2000, 60 + 8 * ceil(sqrt(greatest({p}, {q}))))"
+    iters = f"60 + 8 * ceil(sqrt(greatest({p}, {q})))"
     front = f"exp({p} * ln({y}) + {q} * ln(1.0 - {y}) - {lbeta(p, q, dialect)})"
     part = f"({front} * {_betacf(p, q, y, dialect, iters)} / {p})"
     body = let(dialect, y, f"CASE WHEN {fl} THEN 1.0 - {vx} ELSE {vx} END", part)
@@ -131,14 +131,15 @@ def betainc(a: str, b: str, x: str, dialect: str = SPARK) -> str:
 def gammainc_upper(a: str, x: str, dialect: str = SPARK) -> str:
     """Regularised upper incomplete gamma Q(a, x)."""
     va, vx = _fresh("za"), _fresh("zx")
-    iters = f"least(3000, 60 + 8 * ceil(sqrt(greatest({va}, {vx}))))"
+    # for a below the switch to the expansion; the tail is 0 in doubles long before x is a million times a
+    iters = f"60 + 8 * ceil(sqrt(greatest({va}, least({vx}, 1e6))))"
     front = f"exp(-{vx} + {va} * ln({vx}) - {lgamma(va, dialect)})"
 
     def series_step(st, k):
         term = f"{st}.t * {vx} / ({va} + {k})"
         return {"s": f"{st}.s + {term}", "t": term}
 
-    series = fold(dialect, f"least(5000, 60 + 4 * ceil({vx}) + 8 * ceil(sqrt({vx} + 1)))",
+    series = fold(dialect, f"60 + 12 * ceil(sqrt(least({vx}, {va}) + 1))",
                   {"s": f"1.0 / {va}", "t": f"1.0 / {va}"}, series_step, "s")
 
     def cf_step(st, k):
@@ -158,12 +159,83 @@ def gammainc_upper(a: str, x: str, dialect: str = SPARK) -> str:
 
 
 # -- distribution tails ----------------------------------------------------
+# Spark evaluates the incomplete gamma and beta functions above, with
+# asymptotic forms where their series would get long.  The DuckDB side of a
+# check integrates the densities numerically (Simpson) with DuckDB's own
+# log-gamma: the two share no formula, and the text stays short.
+_PANELS = 2000
+#: from here on the expansions below are exact to about 1e-10
+_LARGE_A = 1e5
+_LARGE_DF = 1e5
+
+
+def _simpson(lo: str, hi: str, density) -> str:
+    """Integral of ``density(x)`` from ``lo`` to ``hi`` (0 if empty), for DuckDB."""
+    l, h, i = _fresh("zl"), _fresh("zh"), _fresh("zi")
+    weight = f"(CASE WHEN {i} = 0 OR {i} = {_PANELS} THEN 1 WHEN {i} % 2 = 1 THEN 4 ELSE 2 END)"
+    at = f"({l} + {i} * ({h} - {l}) / {_PANELS}.0)"
+    body = (f"CASE WHEN {h} > {l} THEN list_sum(list_transform(range(0, {_PANELS + 1}), lambda {i}: {weight} * {density(at)})) "
+            f"* ({h} - {l}) / {3 * _PANELS}.0 ELSE 0.0 END")
+    return let(DUCK, l, f"CAST({lo} AS DOUBLE)", let(DUCK, h, f"CAST({hi} AS DOUBLE)", body))
+
+
+def _unit(x: str) -> str:
+    return f"least(1.0, greatest(0.0, {x}))"
+
+
+def _bind(dialect: str, values: dict[str, str], body) -> str:
+    names = {k: _fresh("zv") for k in values}
+    out = body(**names)
+    for k, v in reversed(values.items()):
+        out = let(dialect, names[k], f"CAST({v} AS DOUBLE)", out)
+    return out
+
+
+def _norm_upper(z: str, dialect: str) -> str:
+    """P(Z > z) for any sign of z."""
+    v, p2 = _fresh("zz"), _fresh("zs")
+    return let(dialect, v, f"CAST({z} AS DOUBLE)",
+               let(dialect, p2, norm_sf2(v, dialect), f"CASE WHEN {v} >= 0 THEN 0.5 * {p2} ELSE 1.0 - 0.5 * {p2} END"))
+
+
+def _gamma_large(a: str, x: str) -> str:
+    """Q(a, x) for large a: Temme's uniform expansion with its first term."""
+    m, eta = _fresh("zm"), _fresh("ze")
+    # m = x / a - 1; eta**2 / 2 = m - ln(1 + m), by its series near 0
+    half = (f"CASE WHEN abs({m}) < 1e-3 THEN {m} * {m} * (0.5 - {m} / 3.0 + {m} * {m} / 4.0 - pow({m}, 3) / 5.0 + pow({m}, 4) / 6.0) "
+            f"ELSE {m} - ln(1.0 + {m}) END")
+    c0 = (f"CASE WHEN abs({eta}) < 1e-2 THEN -1.0 / 3 + {eta} / 12.0 - 2.0 * {eta} * {eta} / 135.0 + pow({eta}, 3) / 864.0 "
+          f"ELSE 1.0 / {m} - 1.0 / {eta} END")
+    body = (f"{_norm_upper(f'({eta} * sqrt({a}))', SPARK)} + exp(-{a} * {eta} * {eta} / 2.0) "
+            f"/ sqrt({2 * math.pi!r} * {a}) * ({c0})")
+    body = let(SPARK, eta, f"sign({m}) * sqrt(2.0 * greatest(0.0, {half}))", body)
+    return let(SPARK, m, f"({x}) / ({a}) - 1.0", f"CASE WHEN {m} <= -1 THEN 1.0 ELSE {_zero_one(body)} END")
+
+
+def _zero_one(x: str) -> str:
+    return f"least(1.0D, greatest(0.0D, {x}))"
+
+
 def chi2_sf(x: str, df: str, dialect: str = SPARK) -> str:
-    return gammainc_upper(f"(({df}) / 2.0)", f"(({x}) / 2.0)", dialect)
+    if dialect == DUCK:
+        def body(x, k):  # of s = sqrt(x): smooth from one degree of freedom on
+            def density(s):
+                return (f"(CASE WHEN {s} <= 0 THEN (CASE WHEN {k} = 1 THEN sqrt(2 / pi()) ELSE 0.0 END) ELSE "
+                        f"exp(0.6931471805599453 * (1 - {k} / 2) - lgamma({k} / 2) + ({k} - 1) * ln({s}) - {s} * {s} / 2) END)")
+            low = f"greatest(0.0, sqrt({k}) - 12)"
+            return f"CASE WHEN {x} <= 0 THEN 1.0 ELSE {_unit('1 - ' + _simpson(low, f'least(sqrt({x}), sqrt({k}) + 12)', density))} END"
+        return _bind(DUCK, {"x": x, "k": df}, body)
+    va, vx = _fresh("za"), _fresh("zx")
+    return let(SPARK, va, f"CAST(({df}) / 2.0 AS DOUBLE)", let(
+        SPARK, vx, f"CAST(({x}) / 2.0 AS DOUBLE)",
+        f"CASE WHEN {va} > {_LARGE_A} THEN {_gamma_large(va, vx)} ELSE {gammainc_upper(va, vx)} END"))
 
 
 def norm_sf2(z: str, dialect: str = SPARK) -> str:
     """Two-sided normal p-value P(|Z| > |z|)."""
+    if dialect == DUCK:
+        inside = _simpson("0", f"least(abs({z}), 9.0)", lambda s: f"exp(-{s} * {s} / 2)")
+        return _unit(f"1 - {2 / math.sqrt(2 * math.pi)!r} * {inside}")
     return gammainc_upper("0.5", f"(({z}) * ({z}) / 2.0)", dialect)
 
 
@@ -176,8 +248,19 @@ def norm_cdf(z: str, dialect: str = SPARK) -> str:
 
 def t_sf2(t: str, df: str, dialect: str = SPARK) -> str:
     """Two-sided Student t p-value."""
+    if dialect == DUCK:
+        def body(t, n):  # t = sqrt(n) tan(u): the density becomes a power of the cosine
+            inside = _simpson("0", f"least(atan(abs({t}) / sqrt({n})), 14 / sqrt({n}))", lambda u: f"pow(greatest(cos({u}), 0.0), {n} - 1)")
+            return _unit(f"1 - 2 * exp(lgamma(({n} + 1) / 2) - lgamma({n} / 2)) / sqrt(pi()) * {inside}")
+        return _bind(DUCK, {"t": t, "n": df}, body)
     vt, vd = _fresh("zt"), _fresh("zd")
-    body = betainc(f"({vd} / 2.0)", "0.5", f"({vd} / ({vd} + {vt} * {vt}))", dialect)
+    beta = betainc(f"({vd} / 2.0)", "0.5", f"({vd} / ({vd} + {vt} * {vt}))", dialect)
+    # many degrees of freedom: expansion around the normal tail
+    v2 = f"({vt} * {vt})"
+    edge = (f"abs({vt}) * ({v2} + 1.0) / (4.0 * {vd}) + abs({vt}) * (3.0 * pow({v2}, 3) - 7.0 * {v2} * {v2} - 5.0 * {v2} - 3.0) "
+            f"/ (96.0 * {vd} * {vd})")
+    large = _zero_one(f"{norm_sf2(vt)} + 2.0 * exp(-{v2} / 2.0) / sqrt({2 * math.pi!r}) * ({edge})")
+    body = f"CASE WHEN {vd} > {_LARGE_DF} THEN (CASE WHEN abs({vt}) > 38 THEN 0.0D ELSE {large} END) ELSE {beta} END"
     return let(dialect, vt, f"CAST({t} AS DOUBLE)", let(dialect, vd, f"CAST({df} AS DOUBLE)", body))
 
 
@@ -190,6 +273,14 @@ def t_cdf(t: str, df: str, dialect: str = SPARK) -> str:
 
 def f_sf(f: str, d1: str, d2: str, dialect: str = SPARK) -> str:
     """Upper tail of the F distribution."""
+    if dialect == DUCK:
+        def body(f, p, q):  # F = (q / p) tan(u)**2: a power of the sine times one of the cosine
+            middle, width = f"atan(sqrt(greatest({p} - 1, 0.0) / greatest({q} - 1, 1e-9)))", f"14 / sqrt({p} + {q})"
+            inside = _simpson(f"greatest(0.0, {middle} - {width})", f"least(atan(sqrt({p} * {f} / {q})), {middle} + {width})",
+                              lambda u: f"pow(greatest(sin({u}), 0.0), {p} - 1) * pow(greatest(cos({u}), 0.0), {q} - 1) * "
+                                        f"exp(lgamma(({p} + {q}) / 2) - lgamma({p} / 2) - lgamma({q} / 2))")
+            return f"CASE WHEN {f} <= 0 THEN 1.0 ELSE {_unit('1 - 2 * ' + inside)} END"
+        return _bind(DUCK, {"f": f, "p": d1, "q": d2}, body)
     vf, v1, v2 = _fresh("zf"), _fresh("zp"), _fresh("zq")
     body = (f"CASE WHEN {vf} <= 0 THEN 1.0 ELSE "
             f"{betainc(f'({v2} / 2.0)', f'({v1} / 2.0)', f'({v2} / ({v2} + {v1} * {vf}))', dialect)} END")
@@ -198,6 +289,9 @@ def f_sf(f: str, d1: str, d2: str, dialect: str = SPARK) -> str:
 
 
 def t_pdf(t: str, df: str, dialect: str = SPARK) -> str:
+    if dialect == DUCK:
+        return (f"exp(lgamma(({df} + 1.0) / 2.0) - lgamma({df} / 2.0) - 0.5 * ln({df} * pi()) "
+                f"- ({df} + 1.0) / 2.0 * ln(1.0 + ({t}) * ({t}) / {df}))")
     return (f"exp({lgamma(f'(({df}) + 1.0) / 2.0', dialect)} - {lgamma(f'({df}) / 2.0', dialect)} "
             f"- 0.5 * ln(({df}) * {math.pi!r}) - (({df}) + 1.0) / 2.0 * ln(1.0 + ({t}) * ({t}) / ({df})))")
 
@@ -205,8 +299,9 @@ def t_pdf(t: str, df: str, dialect: str = SPARK) -> str:
 def t_ppf(p: float, df: str, dialect: str = SPARK) -> str:
     """Quantile of Student t for a fixed probability ``p``.
 
-    Start from the Cornish-Fisher expansion around the normal quantile,
-    then two Newton steps on the exact CDF.
+    Start from the Cornish-Fisher expansion around the normal quantile, which
+    is exact to 1e-12 beyond 1e4 degrees of freedom; below, three Newton steps
+    on the exact CDF, as a fold so that the CDF's text stands once.
     """
     z = NormalDist().inv_cdf(p)
     vd = _fresh("zd")
@@ -216,16 +311,18 @@ def t_ppf(p: float, df: str, dialect: str = SPARK) -> str:
     g4 = (79 * z ** 9 + 776 * z ** 7 + 1482 * z ** 5 - 1920 * z ** 3 - 945 * z) / 92160
     start = (f"({z!r} + {g1!r} / {vd} + {g2!r} / pow({vd}, 2) + {g3!r} / pow({vd}, 3) "
              f"+ {g4!r} / pow({vd}, 4))")
-
-    def newton(t0):
-        v = _fresh("zn")
-        return let(dialect, v, t0,
-                   f"{v} - ({t_cdf(v, vd, dialect)} - {p!r}) / {_nz(t_pdf(v, vd, dialect))}")
-
     exact1 = f"tan({math.pi!r} * ({p!r} - 0.5))"
     exact2 = repr((2 * p - 1) / math.sqrt(2 * p * (1 - p)))
+    if dialect == DUCK:
+        def newton(t0):
+            v = _fresh("zn")
+            return let(DUCK, v, t0, f"{v} - ({t_cdf(v, vd, DUCK)} - {p!r}) / {t_pdf(v, vd, DUCK)}")
+        refined = newton(newton(start))
+    else:
+        refined = fold(dialect, "3", {"t": start},
+                       lambda st, k: {"t": f"{st}.t - ({t_cdf(f'{st}.t', vd, dialect)} - {p!r}) / {_nz(t_pdf(f'{st}.t', vd, dialect))}"}, "t")
     body = (f"CASE WHEN {vd} <= 0 THEN NULL WHEN {vd} = 1 THEN {exact1} "
-            f"WHEN {vd} = 2 THEN {exact2} ELSE {newton(newton(start))} END")
+            f"WHEN {vd} = 2 THEN {exact2} WHEN {vd} > 1e4 THEN {start} ELSE {refined} END")
     return let(dialect, vd, f"CAST({df} AS DOUBLE)", body)
 
 
