@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prudent.functions.scalar import safe_div
+from prudent.operators.graph import connected_components
 from prudent.session import cut_lineage
 
 
@@ -169,10 +170,13 @@ def mahalanobis(df: DataFrame, features: list[str], alpha: float = 0.025, csteps
 
 
 def conditional_outliers(df: DataFrame, value: str, given: list[str], z: float = 3.0) -> DataFrame:
-    """Cohort-relative score (value vs its group's mean / sd)."""
-    w = Window.partitionBy(*given)
-    d = df.withColumn("score", safe_div(F.col(value) - F.avg(value).over(w), F.stddev_samp(value).over(w)))
-    return d.withColumn("is_outlier", F.abs("score") > z)
+    """Cohort-relative score (value vs its group's mean / sd).  Group
+    moments are aggregated and joined back, so no task holds a whole group."""
+    st = df.groupBy(*given).agg(F.avg(value).alias("__m"), F.stddev_samp(value).alias("__s"))
+    st = st.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(given)], "__m", "__s")
+    on = [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(given)]
+    d = df.join(st, on, "left").withColumn("score", safe_div(F.col(value) - F.col("__m"), F.col("__s")))
+    return d.drop("__m", "__s", *[f"__g{i}" for i in range(len(given))]).withColumn("is_outlier", F.abs("score") > z)
 
 
 def pca(df: DataFrame, k: int, features: str = "features") -> DataFrame:
@@ -260,19 +264,20 @@ def isolation_forest(df: DataFrame, features: list[str], id_col: str, trees: int
     return sc.withColumn("is_outlier", F.col("score") >= F.lit(cut))
 
 
-def kprototypes(df: DataFrame, num: list[str], cat: list[str], k: int, seed: int = 42, iters: int = 10,
+def kprototypes(df: DataFrame, num: list[str], cat: list[str], k: int, seed: int = 42,
                 gamma: float | None = None) -> DataFrame:
     """K-prototypes for mixed data.  Distance = squared numeric distance
     + gamma x categorical mismatches; prototypes (k rows) are recomputed as
-    means and modes by ``groupBy`` and carried as literals; lineage is cut by
-    a reliable checkpoint every few iterations."""
-    d = df.select(*num, *cat)
+    means and modes by one ``groupBy`` per pass and carried as literals, until
+    they stay as they are (the total distance falls in every pass, so they do).
+    The input is materialised once; a pass reads it and nothing before it."""
+    d = cut_lineage(df.select(*num, *cat))
     if gamma is None:
         gamma = float(np.mean([v or 0.0 for v in d.select(*[F.stddev_samp(c) for c in num]).first()])) or 1.0
     init = d.withColumn("__h", F.xxhash64(*[F.col(c) for c in num + cat], F.lit(seed))).orderBy("__h").limit(k).collect()
     protos = [([float(r[c]) for c in num], [r[c] for c in cat]) for r in init]
-    cur = d
-    for it in range(iters):
+    seen = []
+    while True:
         dists = []
         for pn, pc in protos:
             e = sum(((F.col(c) - v) ** 2 for c, v in zip(num, pn)), F.lit(0.0))
@@ -280,22 +285,24 @@ def kprototypes(df: DataFrame, num: list[str], cat: list[str], k: int, seed: int
             dists.append(e)
         arr = F.array(*[F.struct(dd.alias("d"), F.lit(i).alias("i")) for i, dd in enumerate(dists)])
         cur = d.withColumn("cluster", F.array_min(arr)["i"])
-        if it % 3 == 2:
-            cur = cut_lineage(cur)
-        means = cur.groupBy("cluster").agg(*[F.avg(c).alias(c) for c in num]).collect()
-        modes = {c: cur.groupBy("cluster", c).count().groupBy("cluster").agg(
-            F.max_by(c, F.struct("count", F.col(c))).alias("m")).collect() for c in cat}
-        new = {r["cluster"]: [float(r[c]) for c in num] for r in means}
-        mode = {c: {r["cluster"]: r["m"] for r in rows} for c, rows in modes.items()}
-        protos = [(new.get(i, pn), [mode[c].get(i, v) for c, v in zip(cat, pc)]) for i, (pn, pc) in enumerate(protos)]
-    return cur
-
-
-def dtw_kmeans(series: DataFrame, key: str, k: int = 3, band: int = 5, iters: int = 5, seed: int = 42) -> DataFrame:
-    """Shape clustering of series under DTW (Sakoe-Chiba band): each
-    series is assigned to the nearest of k centroid series (k x n distances
-    per pass, never n x n), centroids are the element-wise means of members;
-    series are arrays of bounded length (periods)."""
+        got = {r["cluster"]: r for r in cur.groupBy("cluster").agg(
+            *[F.avg(c).alias(f"n{i}") for i, c in enumerate(num)],
+            *[F.mode(c, True).alias(f"c{i}") for i, c in enumerate(cat)]).collect()}  # k rows
+        protos = [([float(got[g][f"n{i}"]) for i in range(len(num))], [got[g][f"c{i}"] for i in range(len(cat))]) if g in got else old
+                  for g, old in enumerate(protos)]
+        mark = tuple((tuple(float(f"{v:.9g}") for v in pn), tuple(pc)) for pn, pc in protos)
+        if mark in seen:
+            return cur
+        seen.append(mark)
+
+
+def dtw_kmeans(series: DataFrame, key: str, k: int = 3, band: int = 5, seed: int = 42) -> DataFrame:
+    """Shape clustering of series under DTW (Sakoe-Chiba band, along the
+    scaled diagonal and never narrower than the difference of two lengths):
+    each series is assigned to the nearest of k centroid series (k x n
+    distances per pass, never n x n), centroids are the element-wise means of
+    members; passes go on until the centroids repeat; series are arrays of
+    bounded length (periods)."""
     s = series.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("t", "y"))).alias("__a")) \
         .select(key, F.col("__a.y").alias("y"))
     cents = [np.array(r["y"], dtype=float) for r in
@@ -303,17 +310,24 @@ def dtw_kmeans(series: DataFrame, key: str, k: int = 3, band: int = 5, iters: in
 
     def dtw(a, b):
         n, m = len(a), len(b)
-        D = np.full((n + 1, m + 1), np.inf)
-        D[0, 0] = 0.0
+        wide = max(band, abs(n - m))
+        cost = (np.asarray(a, dtype=float)[:, None] - np.asarray(b, dtype=float)[None, :]) ** 2
+        prev = np.full(m + 1, np.inf)
+        prev[0] = 0.0
         for i in range(1, n + 1):
-            lo, hi = max(1, i - band), min(m, i + band)
-            for j in range(lo, hi + 1):
-                c = (a[i - 1] - b[j - 1]) ** 2
-                D[i, j] = c + min(D[i - 1, j], D[i, j - 1], D[i - 1, j - 1])
-        return float(np.sqrt(D[n, m]))
-
-    out = None
-    for _ in range(iters):
+            middle = i * m / n
+            lo, hi = max(1, math.ceil(middle - wide)), min(m, math.floor(middle + wide))
+            cur = np.full(m + 1, np.inf)
+            best = np.minimum(prev[lo:hi + 1], prev[lo - 1:hi])
+            left = np.inf
+            for j, (c, up) in enumerate(zip(cost[i - 1, lo - 1:hi].tolist(), best.tolist()), start=lo):
+                left = c + min(left, up)
+                cur[j] = left
+            prev = cur
+        return float(np.sqrt(prev[m]))
+
+    seen = []
+    while True:
         bc = series.sparkSession.sparkContext.broadcast(cents)
 
         def assign(it):
@@ -328,20 +342,22 @@ def dtw_kmeans(series: DataFrame, key: str, k: int = 3, band: int = 5, iters: in
         for r in mean.collect():
             got.setdefault(r["cluster"], {})[r["i"]] = r["v"]
         cents = [np.array([got[c][i] for i in sorted(got[c])]) if c in got else cents[c] for c in range(k)]
-    return out.drop("y")
+        # rounded, as the order of a distributed mean may change its last bits
+        mark = tuple(tuple(float(f"{v:.9g}") for v in c) for c in cents)
+        if mark in seen:
+            return out.drop("y")
+        seen.append(mark)
 
 
-def dbscan(df: DataFrame, id_col: str, features: list[str], eps: float, min_pts: int,
-           max_iter: int = 40) -> DataFrame:
+def dbscan(df: DataFrame, id_col: str, features: list[str], eps: float, min_pts: int) -> DataFrame:
     """DBSCAN on a grid of eps-wide cells.
 
     Neighbours are searched only in the 3^d adjacent cells (an equi-join on
     cell keys, then the exact distance test), so the work follows local
     density within eps rather than the size of any group.  Points with at
     least ``min_pts`` neighbours (self included) are core; clusters are the
-    connected components of the core-core eps graph, found by iterative
-    min-label propagation (lineage cut by a reliable checkpoint every few
-    rounds); border points take the smallest neighbouring core label; the
+    connected components of the core-core eps graph, however long their
+    chains; border points take the smallest neighbouring core label; the
     rest is noise."""
     import itertools
     dim = len(features)
@@ -360,16 +376,8 @@ def dbscan(df: DataFrame, id_col: str, features: list[str], eps: float, min_pts:
     deg = edges.groupBy("id_a").agg(F.count("*").alias("deg"))
     core = deg.where(F.col("deg") >= min_pts).select(F.col("id_a").alias("id"))
     cc = edges.join(core.withColumnRenamed("id", "id_a"), "id_a").join(core.withColumnRenamed("id", "id_b"), "id_b")
-    lab = core.withColumn("cluster", F.col("id"))
-    for it in range(max_iter):
-        m = cc.join(lab.select(F.col("id").alias("id_b"), F.col("cluster").alias("lb")), "id_b") \
-            .groupBy("id_a").agg(F.min("lb").alias("lb"))
-        new = lab.join(m.withColumnRenamed("id_a", "id"), "id", "left") \
-            .select("id", F.least("cluster", F.coalesce("lb", "cluster")).alias("cluster"))
-        changed = new.join(lab.withColumnRenamed("cluster", "old"), "id").where(F.col("cluster") != F.col("old")).count()
-        lab = cut_lineage(new) if it % 4 == 3 else new.cache()
-        if changed == 0:
-            break
+    linked = connected_components(cc.where("id_a > id_b"), "id_a", "id_b")
+    lab = core.join(linked, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("cluster"))
     border = edges.join(lab.select(F.col("id").alias("id_b"), F.col("cluster").alias("cb")), "id_b") \
         .join(core.withColumnRenamed("id", "id_a"), "id_a", "left_anti").groupBy("id_a").agg(F.min("cb").alias("cb"))
     out = pts.select("id").join(lab, "id", "left").join(border.withColumnRenamed("id_a", "id"), "id", "left")

@@ -590,12 +590,17 @@ def cap_candidates(df: DataFrame, group: list[str], order: list[Column], k: int)
     return df.withColumn("rank", F.row_number().over(w)).withColumn("overflow", F.col("rank") > k)
 
 
-def exact_hash_sample(df: DataFrame, key: list[str], n: int, seed: int = 42, buckets: int = 4096) -> DataFrame:
+def exact_hash_sample(df: DataFrame, key: list[str], n: int, seed: int = 42, buckets: int | None = None) -> DataFrame:
     """Exactly ``n`` rows, the ones with the smallest seeded hash of the key
     (independent of partitioning), without a single-task top-n merge: count
-    rows per hash bucket (``buckets`` rows), find the bucket holding the
-    n-th row, keep every lower bucket whole and rank only inside the one
-    boundary bucket."""
+    rows per hash bucket, find the bucket holding the n-th row, keep every
+    lower bucket whole and rank only inside the one boundary bucket.  Buckets
+    default to one per 50,000 rows; all rows come back if there are no more
+    than ``n``."""
+    rows = df.count()
+    if rows <= n:
+        return df
+    buckets = buckets or max(64, -(-rows // 50_000))
     u = F.pmod(F.xxhash64(*[F.col(k) for k in key], F.lit(seed)), F.lit(1 << 40))
     d = df.withColumn("__u", u).withColumn("__b", (F.col("__u") * buckets / F.lit(float(1 << 40))).cast("int"))
     cnt = d.groupBy("__b").count()
@@ -610,10 +615,10 @@ def exact_hash_sample(df: DataFrame, key: list[str], n: int, seed: int = 42, buc
     return lower.unionByName(boundary).drop("__u", "__b")
 
 
-def guard_rows(df: DataFrame, key: list[str], threshold: int, seed: int = 42, auto_sample: bool = True):
-    """Above ``threshold`` rows, an exact-n deterministic sample (the
-    rows with the smallest seeded key hash), with a high-severity warning;
-    with sampling off, an error."""
+def guard_rows(df: DataFrame, key: list[str], threshold: int, seed: int = 42, auto_sample: bool = False):
+    """Above ``threshold`` rows an error, or, with sampling asked for, an
+    exact-n deterministic sample (the rows with the smallest seeded key hash)
+    and a high-severity warning."""
     n = df.count()
     if n <= threshold:
         return df, []

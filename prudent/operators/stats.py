@@ -622,12 +622,19 @@ def outcome_expr(p: str = "p_value", tier: str = "tier", power: str = "power", a
 
 def mutual_info(df: DataFrame, x: str, y: str, bins: int = 10, by=None) -> DataFrame:
     """Mutual information (nats) of equal-width binned x and y, with
-    the normalised form MI / sqrt(H(x) H(y))."""
+    the normalised form MI / sqrt(H(x) H(y)).  Ranges are aggregated and
+    joined back; windows run over the bins^2 cells of a group only."""
     by = _by(by)
-    w = Window.partitionBy(*by)
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    ends = d.groupBy(*by).agg(*[f(c).alias(f"__{n}{c}") for c in (x, y) for n, f in (("lo", F.min), ("hi", F.max))])
+    if by:
+        ends = ends.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(by)], *[c for c in ends.columns if c not in by])
+        d = d.join(ends, [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(by)])
+    else:
+        for c in ends.columns:
+            d = d.withColumn(c, ends.select(c).scalar())
     for c in (x, y):
-        lo, hi = F.min(c).over(w), F.max(c).over(w)
+        lo, hi = F.col(f"__lo{c}"), F.col(f"__hi{c}")
         d = d.withColumn(f"__b{c}", F.least(F.lit(bins - 1), F.floor(
             F.coalesce(F.try_divide(F.col(c) - lo, hi - lo), F.lit(0.0)) * bins)).cast("int"))
     bx, by_ = f"__b{x}", f"__b{y}"

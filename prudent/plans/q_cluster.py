@@ -76,7 +76,7 @@ def gmm(spark, sf):
 @query("k07_kprototypes")
 def kprototypes(spark, sf):
     c = customer_features(Tables(spark, sf))
-    r = K.kprototypes(c, ["c_acctbal", "avg_value"], ["c_mktsegment"], 4, iters=6)
+    r = K.kprototypes(c, ["c_acctbal", "avg_value"], ["c_mktsegment"], 4)
     return r.groupBy("cluster").agg(F.count("*").alias("size"))
 
 
@@ -86,7 +86,7 @@ def dtw(spark, sf):
     t = Tables(spark, sf)
     s = G.regularize(seg_orders(t), ["c_nationkey"], "o_orderdate", "o_totalprice", "week", 0.0)
     s = s.groupBy("c_nationkey", (F.col("t") / 4).cast("bigint").alias("t")).agg(F.sum("y").alias("y"))
-    return K.dtw_kmeans(s, "c_nationkey", k=3, band=3, iters=3)
+    return K.dtw_kmeans(s, "c_nationkey", k=3, band=3)
 
 
 @query("k09_characterise", f"""WITH {_CF_SQL},

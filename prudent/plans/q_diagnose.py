@@ -341,7 +341,7 @@ def swap_one(spark, sf):
     tot = n.groupBy("s_nationkey").agg(F.sum("den").alias("td"))
     all_den = n.select(F.sum("den")).scalar()
     b = n.groupBy("p_type").agg((F.sum("num") / F.sum("den")).alias("rb"), (F.sum("den") / all_den).alias("wb"))
-    x = n.join(tot, "s_nationkey").join(F.broadcast(b), "p_type") \
+    x = n.join(tot, "s_nationkey").join(b, "p_type") \
         .select("s_nationkey", (F.col("den") / F.col("td")).alias("we"), (F.col("num") / F.col("den")).alias("re"),
                 "wb", "rb")
     base = F.sum(F.col("wb") * F.col("rb"))

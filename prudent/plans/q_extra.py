@@ -287,10 +287,9 @@ def rank_gaps(spark, sf):
 
 @query("t04_block_sample")
 def block_sample(spark, sf):
-    """Quick profiling sample: a fraction sized for ~500 rows, then a limit."""
-    li = Tables(spark, sf).lineitem
-    n = li.count()
-    return li.sample(fraction=min(1.0, 1000.0 / max(n, 1)), seed=3).limit(500)
+    """Quick profiling sample: the 500 rows of smallest key hash, from all partitions alike."""
+    from prudent.operators.relational import exact_hash_sample
+    return exact_hash_sample(Tables(spark, sf).lineitem, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], 500, seed=3)
 
 
 @query("x03_kendall", """

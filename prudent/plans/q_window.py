@@ -257,9 +257,9 @@ def guard_rows(spark, sf):
     (threshold = 1% of the table, so the sampling path always runs)."""
     li = Tables(spark, sf).lineitem
     n = li.count()
-    out, _warnings = R.guard_rows(li, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"],
-                                  max(1, n // 100), seed=42)
-    return out
+    out, warnings = R.guard_rows(li, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"],
+                                 max(1, n // 100), seed=42, auto_sample=True)
+    return out.withColumn("warning", F.lit("; ".join(f"{level}: {text}" for level, text in warnings)))
 
 
 @query("t05_sample_rows")
