@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prudent.functions import scalar as S
+from prudent.session import cut_lineage
 from prudent.operators.relational import canonical_dtype
 
 _FLOATS = (T.DoubleType, T.FloatType)
@@ -103,10 +104,10 @@ def _long(df: DataFrame, metrics: list[str], by: list[str] = ()) -> DataFrame:
 
 def distribution(df: DataFrame, metrics: list[str], by: list[str] = (), approx: bool = False) -> DataFrame:
     """Q06: n, mean, median, sd, IQR, MAD, p5/25/75/95, population skewness
-    and excess kurtosis per metric; MAD by a second pass against the median.
+    and excess kurtosis per metric; MAD from the weighted deviations of the distinct values.
     Exact quantiles use value-range buckets (no group is held in one buffer);
     ``approx=True`` uses sketches (``percentile_approx``)."""
-    from prudent.operators.relational import exact_quantiles
+    from prudent.operators.relational import exact_quantiles, weighted_values
     by = list(by)
     long = _long(df, metrics, by).where(F.col("x").isNotNull())
     qs = [0.05, 0.25, 0.5, 0.75, 0.95]
@@ -119,14 +120,16 @@ def distribution(df: DataFrame, metrics: list[str], by: list[str] = (), approx:
         q = long.groupBy(*keys).agg(F.percentile_approx("x", qs, 10000).alias("__q")) \
             .select(*keys, *[F.col("__q")[i].alias(nm) for i, nm in enumerate(qn)])
     else:
-        q = exact_quantiles(long, keys, "x", qs, names=qn)
+        values = weighted_values(long, keys, "x")
+        q = cut_lineage(exact_quantiles(long, keys, "x", qs, names=qn, weighted=values))
     st = st.join(q, keys)
-    med = st.select(*keys, "median")
-    dev = long.join(med, keys).select(*keys, F.abs(F.col("x") - F.col("median")).alias("d"))
     if approx:
+        dev = long.join(st.select(*keys, "median"), keys).select(*keys, F.abs(F.col("x") - F.col("median")).alias("d"))
         mad = dev.groupBy(*keys).agg(F.percentile_approx("d", 0.5, 10000).alias("mad"))
     else:
-        mad = exact_quantiles(dev, keys, "d", [0.5], names=["mad"])
+        # deviations of the distinct values keep their weights: no second pass over the rows
+        dev = values.join(q.select(*keys, "median"), keys).select(*keys, F.abs(F.col("__v") - F.col("median")).alias("d"), "__w")
+        mad = exact_quantiles(dev, keys, "d", [0.5], names=["mad"], weighted=weighted_values(dev, keys, "d", "__w"))
     return st.join(mad, keys).withColumn("iqr", F.col("p75") - F.col("p25"))
 
 

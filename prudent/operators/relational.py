@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prudent.functions.scalar import safe_div
+from prudent.session import cut_lineage
 
 
 def _c(c) -> Column:
@@ -528,8 +529,13 @@ def runs(df: DataFrame, key: list[str], order: list[str], flag: str) -> DataFram
             .drop("__grp"))
 
 
+def range_buckets(rows: int) -> int:
+    """Value ranges per group: about 200,000 distinct values each, 64 to 2,048 (the tree of comparisons stays small)."""
+    return min(2048, max(64, -(-rows // 200_000)))
+
+
 def bucketed_cumcount(df: DataFrame, by: list[str], value: str, weight: str | None = None,
-                      buckets: int = 64) -> DataFrame:
+                      buckets: int | None = None) -> DataFrame:
     """Cumulative weight strictly below each distinct value, per group, at scale.
 
     1. aggregate to distinct (group, value) with their weight (a hot value is one row);
@@ -541,7 +547,9 @@ def bucketed_cumcount(df: DataFrame, by: list[str], value: str, weight: str | No
     No task ever holds more than one bucket of one group.
     """
     w = F.sum(weight) if weight else F.count("*")
-    cnt = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(w.alias("__w"))
+    # read three times below: materialised once, so the input is scanned once
+    cnt = cut_lineage(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(w.alias("__w")))
+    buckets = buckets or range_buckets(cnt.count())
     qs = [i / buckets for i in range(1, buckets)]
     bounds = cnt.groupBy(*by).agg(F.percentile_approx(value, qs, 10000).alias("__b"))
     if by:
@@ -697,8 +705,15 @@ def count_below(bounds: Column, v: Column, n: int, lo: int = 0, hi: int | None =
         .otherwise(count_below(bounds, v, n, lo, mid))
 
 
-def exact_quantiles(df: DataFrame, by: list[str], value: str, qs: list[float], buckets: int = 64,
-                    names: list[str] | None = None) -> DataFrame:
+def weighted_values(df: DataFrame, by: list[str], value: str, weight: str | None = None) -> DataFrame:
+    """Distinct (group, value) rows with their weight ``__w``, materialised once: a hot value is one row."""
+    w = F.sum(weight) if weight else F.count("*")
+    return cut_lineage(df.select(*by, F.col(value).cast("double").alias("__v"), *([weight] if weight else []))
+                       .where(F.col("__v").isNotNull()).groupBy(*by, "__v").agg(w.alias("__w")))
+
+
+def exact_quantiles(df: DataFrame, by: list[str], value: str, qs: list[float], buckets: int | None = None,
+                    names: list[str] | None = None, weighted: DataFrame | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles (type 7, as ``percentile`` and
     ``quantile_cont``) per group, without holding a group in one buffer.
 
@@ -709,12 +724,12 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, qs: list[float], b
     3. keep only the buckets that contain a target rank (at most two per
        quantile) and rank the rows inside those buckets alone.
     No task holds more than one bucket of one group, and buckets without a
-    target rank are never sorted."""
+    target rank are never sorted.  ``weighted`` is a table of
+    ``weighted_values`` that the caller has already."""
     by = list(by)
     names = names or [f"q{i}" for i in range(len(qs))]
-    # distinct values with their multiplicity: a hot value is one row
-    x = df.select(*by, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull()) \
-        .groupBy(*by, "__v").agg(F.count("*").alias("__w"))
+    x = weighted_values(df, by, value) if weighted is None else weighted
+    buckets = buckets or range_buckets(x.count())
     cuts = [i / buckets for i in range(1, buckets)]
     bounds = x.groupBy(*by).agg(F.percentile_approx("__v", cuts, 10000).alias("__b"), F.sum("__w").alias("__n"))
     if by:

@@ -16,11 +16,19 @@ from prudent.functions import dist as D
 from prudent.functions import scalar as S
 from prudent.operators import findings as V
 from prudent.plans.registry import Tables, query
+from prudent.session import cut_lineage
 
 Z = 1.959963984540054
 
 
 def findings(t: Tables):
+    """The findings table (a row per run and entity), computed once per set of tables."""
+    if "__findings" not in t._cache:
+        t._cache["__findings"] = cut_lineage(_findings(t))
+    return t._cache["__findings"]
+
+
+def _findings(t: Tables):
     o = t.orders.join(t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey") \
         .select(F.col("o_orderpriority").alias("run_id"), F.col("c_mktsegment").alias("entity"),
                 F.year("o_orderdate").alias("yr"), F.month("o_orderdate").alias("mo"), "o_totalprice",
