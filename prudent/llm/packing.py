@@ -184,8 +184,7 @@ def _cut(path: str, capacity: int, end_id: int, with_ids: bool):
             for at in range(0, batch.num_rows, 512):
                 names = batch.column(0).slice(at, 512).to_pylist()
                 rows = []
-                for name, got in zip(names, encoder.encode_batch(batch.column(1).slice(at, 512).to_pylist())):
-                    ids = np.append(got, np.uint32(end_id)).astype("<u4")
+                for name, ids in zip(names, encoder.encode_batch(batch.column(1).slice(at, 512).to_pylist(), end_id=end_id)):
                     first = (len(ids) - 1) % capacity + 1
                     ends = range(first, len(ids) + 1, capacity)
                     for p, end in enumerate(ends):

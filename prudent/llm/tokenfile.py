@@ -37,8 +37,8 @@ from prudent.llm.tokens import encoder as shared_encoder
 from prudent.llm.tokens import vocabulary_path
 
 MAGIC, BLOCK, LEVEL = b"PLANES01", 1 << 16, 3
-#: bytes of text of a shard, about
-SHARD_BYTES = 64 << 20
+#: documents of a shard, about; a shard streams through its task, so long texts only make it longer
+SHARD_DOCS = 20_000
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -179,8 +179,8 @@ def _write(root: str, path: str, end_id: int, bits: bool):
             texts = batch.column(1)
             for at in range(0, batch.num_rows, 512):
                 ids = batch.column(0).slice(at, 512).to_pylist()
-                for doc, got in zip(ids, encoder.encode_batch(texts.slice(at, 512).to_pylist())):
-                    writer.add(_NO_ID if doc is None else doc, np.append(got, np.uint32(end_id)))
+                for doc, got in zip(ids, encoder.encode_batch(texts.slice(at, 512).to_pylist(), end_id=end_id)):
+                    writer.add(_NO_ID if doc is None else doc, got)
         if writer is not None:
             size = writer.close()
             out.close()
@@ -201,8 +201,7 @@ def write_token_files(docs: DataFrame, root: str, id_col: str = "doc_id", text_c
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if shards is None:
-        size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        shards = max(1, -(-size // SHARD_BYTES), docs.sparkSession.sparkContext.defaultParallelism)
+        shards = max(-(-docs.count() // SHARD_DOCS), docs.sparkSession.sparkContext.defaultParallelism)
     tie = F.xxhash64("text")
     dealt = (base.repartitionByRange(shards, F.col("doc_id"), tie).sortWithinPartitions(F.col("doc_id"), tie)
              .withColumn("shard", F.spark_partition_id()))

@@ -40,7 +40,7 @@ class Encoder:
     def __init__(self, path: str, limit: int = 250_000):
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
         #: piece -> ids as little-endian 32-bit integers; one that begins with a space begins a text,
@@ -51,6 +51,10 @@ class Encoder:
         self.points = {c: np.array(self._ids(c), "<u4").tobytes() for c in ".,;:!?"}
         line_end = self._ids("\n")
         self.newline = line_end[0] if len(line_end) == 1 else None
+        #: the same model for lines of one word each, where the pre-tokenizer's expression has nothing to find
+        self.words = Tokenizer.from_str(self.tokenizer.to_str())
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"),
+                                                            pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -72,32 +76,41 @@ class Encoder:
     Pieces without inner white space are encoded as lines of one text: a line end is a pre-token
         of its own there, so its id parts the lines.  Others are encoded one by one.
         """
-        lines, single, pointed = [], [], []
+        words, lines, single, pointed = [], [], [], []
         for p in pieces:
             core = p[1:] if p[0] == " " else p
-            if core[-1:] in self.points and core[:-1].isalpha():
+            if core.isalpha():
+                words.append(p)
+            elif core[-1:] in self.points and core[:-1].isalpha():
                 pointed.append(p)
-            elif self.newline is not None and core.split() == [core] and "<|" not in core:
+            elif core.split() == [core] and "<|" not in core:
                 lines.append(p)
             else:
                 single.append(p)
-        bare = {p[:-1] for p in pointed}.difference(self.cache, lines)
+        bare = {p[:-1] for p in pointed}.difference(self.cache, words)
         for p in bare.intersection(self.old):
             self.cache[p] = self.old[p]
-        lines += bare.difference(self.old)
-        for at in range(0, len(lines), 5000):
-            part = lines[at:at + 5000]
-            ids = np.array(self._ids("\n".join([self._as_text(p) for p in part])), "<u4")
+        words += bare.difference(self.old)
+        if self.newline is None:
+            words, lines, single = [], [], words + lines + single
+        self._encode_lines(words, self.words)
+        self._encode_lines(lines, self.tokenizer)
+        for p in single:
+            self.cache[p] = np.array(self._ids(self._as_text(p)), "<u4").tobytes()
+        for p in pointed:
+            self.cache[p] = self.cache[p[:-1]] + self.points[p[-1]]
+
+    def _encode_lines(self, pieces: list[str], tokenizer) -> None:
+        for at in range(0, len(pieces), 5000):
+            part = pieces[at:at + 5000]
+            text = "\n".join([self._as_text(p) for p in part])
+            ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             ends = np.append(np.flatnonzero(ids == self.newline), len(ids)) * 4
             raw = ids.tobytes()
             start = 0
             for piece, end in zip(part, ends.tolist(), strict=True):
                 self.cache[piece] = raw[start:end]
                 start = end + 4
-        for p in pointed:
-            self.cache[p] = self.cache[p[:-1]] + self.points[p[-1]]
-        for p in single:
-            self.cache[p] = np.array(self._ids(self._as_text(p)), "<u4").tobytes()
 
     def _raw(self, texts: list[str | None]) -> list[bytes]:
         flat: list[str] = []
@@ -118,11 +131,11 @@ class Encoder:
             got[i] = self.cache[flat[i]]
         return [b"".join(got[a:b]) for a, b in zip(ends, ends[1:])]
 
-    def encode_batch(self, texts: list[str | None], step: int = 512) -> list[np.ndarray]:
-        """Ids of every text (null: none) as unsigned 32-bit integers."""
-        out = []
+    def encode_batch(self, texts: list[str | None], step: int = 512, end_id: int | None = None) -> list[np.ndarray]:
+        """Ids of every text (null: none) as unsigned 32-bit integers, with ``end_id`` after them if there is one."""
+        out, end = [], b"" if end_id is None else end_id.to_bytes(4, "little")
         for at in range(0, len(texts), step):
-            out += [np.frombuffer(b, "<u4") for b in self._raw(texts[at:at + step])]
+            out += [np.frombuffer(b + end, "<u4") for b in self._raw(texts[at:at + step])]
         return out
 
 
