@@ -28,7 +28,7 @@ from prudent.llm.common import staged
 from prudent.llm.tokens import encoder as shared_encoder
 from prudent.llm.tokens import vocabulary_path
 
-CAPACITY, END_ID, GROUPS, SMALL = 1024, 2, 64, 5
+CAPACITY, END_ID, GROUPS, SMALL = 1024, 2, 128, 3
 #: pieces that are ranked in one window
 RANKED = 100_000
 
