@@ -274,22 +274,27 @@ def overlap_pairs(findings: DataFrame, entity: str = "entity", start: str = "win
     """Findings on the same entity whose windows overlap, from different
     runs, each unordered pair once (a.run < b.run).
 
-    Windows are exploded into week bins and paired on (entity, bin), so only
-    windows that share a bin meet; the pair is then emitted from the bin in
-    which the later start falls (exactly once per overlapping pair)."""
-    def binned(df, p):
-        d = df.select(F.col(entity).alias("entity"), F.col(fid).alias(f"{p}_id"), F.col(run).alias(f"{p}_run"),
-                      F.col(start).alias(f"{p}_start"), F.col(end).alias(f"{p}_end"))
-        return d.withColumn("__bin", F.explode(F.sequence(
-            F.floor(F.unix_date(F.to_date(f"{p}_start")) / bin_days).cast("bigint"),
-            F.floor(F.unix_date(F.to_date(f"{p}_end")) / bin_days).cast("bigint"))))
-    a, b = binned(findings, "a"), binned(findings, "b")
-    j = a.join(b, ["entity", "__bin"])
-    later = F.greatest(F.to_date("a_start"), F.to_date("b_start"))
-    return (j.where((F.col("a_run") < F.col("b_run")) & (F.col("a_start") <= F.col("b_end"))
-                    & (F.col("b_start") <= F.col("a_end"))
-                    & (F.floor(F.unix_date(later) / bin_days) == F.col("__bin")))
-            .drop("__bin"))
+    Two windows overlap when the later start lies in the earlier window, so
+    only the earlier one is exploded into bins and the later one joins with
+    the bin of its start: every overlapping pair meets exactly once."""
+    cols = {"id": fid, "run": run, "start": start, "end": end}
+
+    def side(p):
+        return findings.select(F.col(entity).alias("entity" if p == "x" else "__entity"),
+                               *[F.col(c).alias(f"{p}_{n}") for n, c in cols.items()])
+
+    def bin_of(c):
+        return F.floor(F.unix_date(F.to_date(c)) / bin_days).cast("bigint")
+
+    x = side("x").withColumn("__bin", F.explode(F.sequence(bin_of("x_start"), bin_of("x_end"))))
+    y = side("y").withColumn("__start_bin", bin_of("y_start"))
+    j = x.join(y, (F.col("entity") == F.col("__entity")) & (F.col("__bin") == F.col("__start_bin"))
+               & (F.col("x_run") != F.col("y_run")) & (F.col("y_start") <= F.col("x_end"))
+               & ((F.col("x_start") < F.col("y_start"))
+                  | ((F.col("x_start") == F.col("y_start")) & (F.col("x_run") < F.col("y_run")))))
+    first = F.col("x_run") < F.col("y_run")
+    return j.select("entity", *[F.when(first, F.col(f"{u}_{n}")).otherwise(F.col(f"{v}_{n}")).alias(f"{p}_{n}")
+                                for p, u, v in (("a", "x", "y"), ("b", "y", "x")) for n in cols])
 
 
 def non_connections(findings: DataFrame, pairs: DataFrame, fid: str = "finding_id") -> DataFrame:

@@ -212,7 +212,7 @@ def cast_schema(spark, sf):
 @query("p12_context_warnings")
 def context_warnings(spark, sf):
     groups = {"CONTEXT_MISSING_TIME_COLUMNS": [["YEAR", "FISCAL_YEAR"], ["WEEK_NUM", "WEEK_NUMBER"]],
-              "CONTEXT_MISSING_SCOPE_FLAG": [["EDV", "EDV_FLAG", "EDV_SCOPE_APPLIED"]]}
+              "CONTEXT_MISSING_SCOPE_FLAG": [["IN_SCOPE", "SCOPE_FLAG", "SCOPE_APPLIED"]]}
     w = Tables(spark, sf).orders.withColumn("year", F.year("o_orderdate"))
     return R.context_warnings(w, groups)
 

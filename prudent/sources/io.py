@@ -24,7 +24,8 @@ def load_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFr
     fmt = fmt or _READERS.get(suffix)
     if fmt is None:
         raise ValueError(f"unsupported file type {suffix!r} for {path}")
-    if "://" not in path and not os.path.exists(path):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)  # a path without a scheme is on the default file system
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
         raise FileNotFoundError(path)
     r = spark.read
     if fmt == "csv":
