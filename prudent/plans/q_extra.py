@@ -133,7 +133,8 @@ def unwrap(col, levels: int = 3):
     return c
 
 
-@query("f16_unwrap")
+@query("f16_unwrap", """
+SELECT event_type, count(*) FILTER (json_extract_string(props, '$.k') IS NOT NULL) AS n_payload, count(*) AS n FROM events GROUP BY 1""")
 def unwrap_q(spark, sf):
     """Envelopes of 0-2 levels around each event's props (depth from the
     event type) unwrapped back to the payload."""
@@ -147,7 +148,9 @@ def unwrap_q(spark, sf):
                                        F.count("*").alias("n"))
 
 
-@query("f17_norm_name")
+@query("f17_norm_name", """
+SELECT CASE role WHEN 'assistant' THEN 'assistant' WHEN 'user' THEN 'user-agent' WHEN 'system' THEN 'system-agent' ELSE role END AS name,
+       count(*) AS n FROM conversations GROUP BY 1""")
 def norm_name(spark, sf):
     c = Tables(spark, sf).conversations
     canon = ["user-agent", "assistant", "system-agent"]
@@ -155,7 +158,8 @@ def norm_name(spark, sf):
     return c.groupBy(S.norm_name(v, canon).alias("name")).agg(F.count("*").alias("n"))
 
 
-@query("f18_as_array")
+@query("f18_as_array", """
+SELECT event_type, CAST(1 AS INTEGER) AS n_items, CAST(1 AS INTEGER) AS n_keys, count(*) AS n_rows FROM events GROUP BY 1""")
 def as_array(spark, sf):
     """Scalar-or-list coercion: each event's props arrives either as a bare
     object or wrapped in a one-element list (by event type); both are read

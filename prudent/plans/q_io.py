@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from prudent.sources import io as IO
 from prudent.streaming.stream import staging
+from prudent.plans.q_findings import FINDINGS_SQL
 from prudent.plans.registry import Tables, query
 
 
@@ -69,28 +70,40 @@ def pick_primary(spark, sf):
     return IO.pick_primary(a).select("run_id", "stage_index", "file_name")
 
 
-@query("s07_event_log")
+@query("s07_event_log", "SELECT event_type, count(*) AS count FROM events GROUP BY 1")
 def event_log(spark, sf):
+    """A log with torn lines: they are dropped, the others are all read."""
     from prudent.streaming.stream import write_event_log
-    path = write_event_log(Tables(spark, sf).events, os.path.join(staging(spark, "log"), "run.jsonl"))
+    path = write_event_log(Tables(spark, sf).events, os.path.join(staging(spark, "log"), "run.jsonl"), torn=True)
     e = IO.read_event_log(spark, path)
     return e.select(F.try_variant_get("e", "$.event_type", "string").alias("event_type")) \
         .groupBy("event_type").count()
 
 
-@query("s08_spans")
+@query("s08_spans", """
+WITH s AS (SELECT event_type AS name, event_id, ts, lag(event_id) OVER w AS parent, lead(ts) OVER w AS nxt
+           FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT name, count(*) AS n, count(parent) AS n_children, CAST(sum(floor(epoch(coalesce(nxt, ts))) - floor(epoch(ts))) * 1000 AS DOUBLE) AS ms
+FROM s GROUP BY 1""")
 def spans(spark, sf):
-    e = Tables(spark, sf).events
-    s = e.select(F.col("event_id").cast("string").alias("span_id"), F.lit(None).cast("string").alias("parent_span_id"),
-                 F.col("event_type").alias("name"), F.col("ts").cast("timestamp").alias("started_at"),
-                 (F.col("ts").cast("timestamp") + F.expr("INTERVAL 1 SECOND")).alias("ended_at"),
-                 F.lit(1000.0).alias("duration_ms"), F.lit(None).cast("string").alias("error"))
+    """One span per event, under the user's event before it, until the user's next event; written and read back."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    end = F.coalesce(F.lead("ts").over(w), F.col("ts"))
+
+    def millis(c):
+        return F.unix_seconds(c.cast("timestamp")) * 1000  # whole seconds
+    s = Tables(spark, sf).events.select(
+        F.col("event_id").cast("string").alias("span_id"), F.lag("event_id").over(w).cast("string").alias("parent_span_id"),
+        F.col("event_type").alias("name"), F.col("ts").cast("timestamp").alias("started_at"), end.cast("timestamp").alias("ended_at"),
+        (millis(end) - millis(F.col("ts"))).cast("double").alias("duration_ms"),
+        F.when(F.col("event_type") == "error", F.lit("error")).alias("error"))
     path = os.path.join(staging(spark, "spans"), "spans.json")
     s.write.mode("overwrite").json(path)
-    return IO.read_spans(spark, path).groupBy("name").agg(F.count("*").alias("n"), F.sum("duration_ms").alias("ms"))
+    return IO.read_spans(spark, path).groupBy("name").agg(F.count("*").alias("n"), F.count("parent_span_id").alias("n_children"),
+                                                          F.sum("duration_ms").alias("ms"))
 
 
-@query("s09_write_artifacts")
+@query("s09_write_artifacts", f"WITH {FINDINGS_SQL} SELECT run_id, count(*) AS n_findings FROM findings GROUP BY 1")
 def write_artifacts(spark, sf):
     from prudent.plans.q_findings import findings
     f = findings(Tables(spark, sf)).select("run_id", "finding_id", "grade", "p_value")

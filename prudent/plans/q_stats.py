@@ -409,11 +409,23 @@ def interaction(spark, sf):
     return X.interaction(segment_weekly(Tables(spark, sf)), "t", "n_orders", "c_mktsegment")
 
 
-@query("x26_heterogeneity")
+@query("x26_heterogeneity", f"""
+WITH {SEGMENT_WEEKLY_SQL},
+ s AS (SELECT regr_slope(n_orders, t) AS b, (regr_syy(n_orders, t) - pow(regr_sxy(n_orders, t), 2) / regr_sxx(n_orders, t))
+              / (regr_count(n_orders, t) - 2) / regr_sxx(n_orders, t) AS v FROM sw GROUP BY c_mktsegment),
+ a AS (SELECT CAST(count(*) AS DOUBLE) AS k, sum(1 / v) AS sw, sum(1 / (v * v)) AS sw2, sum(b / v) / sum(1 / v) AS pooled FROM s WHERE v > 0),
+ h AS (SELECT a.*, (SELECT sum((b - pooled) * (b - pooled) / v) FROM s) AS q FROM a)
+SELECT round(k, 6) AS k, round(pooled, 6) AS pooled, round(q, 6) AS q, round(k - 1, 6) AS df,
+       round({__import__('prudent.functions.dist', fromlist=['x']).chi2_sf('q', '(k - 1)', DUCK)}, 6) AS p_value,
+       round(CASE WHEN q > 0 THEN greatest(0, (q - (k - 1)) / q) ELSE 0 END, 6) AS i_squared,
+       round(greatest(0, (q - (k - 1)) / nullif(sw - sw2 / sw, 0)), 6) AS tau_squared FROM h""")
 def heterogeneity(spark, sf):
     """Between-segment heterogeneity of weekly order-count trends."""
-    s = X.slope(segment_weekly(Tables(spark, sf)), "t", "n_orders", "c_mktsegment")
-    s = s.withColumn("v", F.col("slope_se") * F.col("slope_se"))
+    # from unrounded slopes: the rounded ones of the report shift Q in the third decimal
+    s = segment_weekly(Tables(spark, sf)).groupBy("c_mktsegment").agg(
+        F.regr_slope("n_orders", "t").alias("slope"),
+        ((F.regr_syy("n_orders", "t") - F.regr_sxy("n_orders", "t") * F.regr_sxy("n_orders", "t") / F.regr_sxx("n_orders", "t"))
+         / (F.regr_count("n_orders", "t") - 2) / F.regr_sxx("n_orders", "t")).alias("v"))
     return X.heterogeneity(s, "slope", "v")
 
 

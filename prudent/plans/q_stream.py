@@ -22,9 +22,13 @@ def stream_ratio(spark, sf):
     return R.stream_ratio(spark, sf, "purchase", "1 day")
 
 
-@query("r03_stream_event_log")
+@query("r03_stream_event_log", """
+SELECT user_id, round(sum(value), 4) AS total, count(*) AS n_events, sum(value) >= 250 AS crossed_50, sum(value) >= 375 AS crossed_75,
+       sum(value) >= 450 AS crossed_90, sum(value) >= 500 AS crossed_100
+FROM events GROUP BY 1""")
 def stream_event_log(spark, sf):
-    log = R.write_event_log(Tables(spark, sf).events, os.path.join(R.staging(spark, "log"), "run.jsonl"))
+    """The log holds torn and repeated lines; the totals must not."""
+    log = R.write_event_log(Tables(spark, sf).events, os.path.join(R.staging(spark, "log"), "run.jsonl"), torn=True, repeated=True)
     return R.stream_event_log(spark, log, cap=500.0)
 
 

@@ -101,10 +101,18 @@ def stream_event_log(spark: SparkSession, log_dir: str, cap: float, marks=(0.5,
     return r.withColumn("total", F.round("total", 4))
 
 
-def write_event_log(df: DataFrame, out: str) -> str:
-    """Land events as one JSON object per line (the log the tail reads)."""
-    df.select(F.to_json(F.struct("event_id", "user_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"),
-                                 "event_type", "value")).alias("value")).write.mode("overwrite").text(out)
+def write_event_log(df: DataFrame, out: str, torn: bool = False, repeated: bool = False) -> str:
+    """Land events as one JSON object per line (the log the tail reads).
+
+    ``torn`` and ``repeated`` add what a log holds after a crash: lines that
+    break off (every 50th event again, cut short) and lines written twice
+    (every 70th event)."""
+    line = F.to_json(F.struct("event_id", "user_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"),
+                              "event_type", "value"))
+    lines = F.array(line,
+                    F.when(F.lit(torn) & (F.col("event_id") % 50 == 0), F.substring(line, F.lit(1), F.length(line) - 3)),
+                    F.when(F.lit(repeated) & (F.col("event_id") % 70 == 0), line))
+    df.select(F.explode(F.array_compact(lines)).alias("value")).write.mode("overwrite").text(out)
     return out
 
 
