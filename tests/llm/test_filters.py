@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from prudent.llm import langid, mixing, pii, quality, urls
 
+from llm_fixtures import fixture_docs  # noqa: F401
+
 URLS = ["https://www.example.com/en/1", "http://EXAMPLE.com/en/", "https://example.com/EN/x", "http://a.www.example.com/en/x?q=/de/", "http://x.com",
         "http://x.com/", "http://x.com?u=/", "http://b.net/es/1", "http://b.net/fr/#x", "http://net/es/", "http://notnet/es/", "http://anet.org/casino/x",
         "http://a.org/casino/history/", "http://a.org/poker", "http://a.org/pokers", "http://ads.b.org/q/banner?x", "http://a.org/f.EXE", "http://a.org/f.exe?x",

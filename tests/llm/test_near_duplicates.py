@@ -7,6 +7,8 @@ import pytest
 
 from prudent.llm import embeddings, minhash, shingles
 
+from llm_fixtures import fixture_docs  # noqa: F401
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 

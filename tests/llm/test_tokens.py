@@ -10,6 +10,8 @@ import pytest
 
 from prudent.llm import packing, tokenfile, tokens, unigram
 
+from llm_fixtures import fixture_docs  # noqa: F401
+
 WEIRD = ["", " ", "  a  b ", "a\n b", "a \nb", " a", "a ", "it's  'll  don't", "<|endoftext|> x <|endoftext|>", "x<|endoftext|> y", "a\x1c b",
          "1 2 3  4", "é ñ\t\tz \n\n q", "　 x y", "\x00 a \x00b c", "Hi, you. a, b! x, ,y", "can't, won't. I, ", "a  b", "日本語 テスト、です", "x" * 5000,
          "a, a. a; a: a? a!", ". , ;", "\n", "a\n\nb c"]
