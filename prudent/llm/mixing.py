@@ -58,11 +58,12 @@ def tempered(shares: dict[str, float], power: float) -> dict[str, float]:
     return {k: v / total for k, v in raised.items()}
 
 
-def rake(tokens: np.ndarray, targets: list[np.ndarray], tolerance: float = 1e-9, rounds: int = 10_000) -> np.ndarray:
+def rake(tokens: np.ndarray, targets: list[np.ndarray], tolerance: float = 1e-9, rounds: int = 10_000, strict: bool = True) -> np.ndarray:
     """Scale of every cell so that ``tokens * scale`` meets the target shares of each axis.
 
-    A target for an empty slice can't be met and is shared out among the others.  Raises when the
-    margins contradict each other (empty cells in the way), rather than returning a half-way table.
+    A target for an empty slice can't be met and is shared out among the others.  Where empty cells
+    make the margins contradict each other, steps end in a cycle with one table per margin that
+    meets that margin: ``strict`` raises then, else the mean of these tables is the compromise.
     """
     total = tokens.sum()
     if not total:
@@ -74,6 +75,7 @@ def rake(tokens: np.ndarray, targets: list[np.ndarray], tolerance: float = 1e-9,
         t = np.where(there, t, 0.0)
         wanted.append(t / t.sum())
     scale = np.where(tokens > 0, 1.0, 0.0)
+    cycle = [scale] * tokens.ndim
     for _ in range(rounds):
         off = 0.0
         for axis, t in zip(axes, wanted):
@@ -81,8 +83,11 @@ def rake(tokens: np.ndarray, targets: list[np.ndarray], tolerance: float = 1e-9,
             off = max(off, float(np.abs(now - t).max()))
             factor = np.divide(t, now, out=np.ones_like(t), where=now > 0)
             scale = scale * factor.reshape([-1 if a == axis else 1 for a in axes])
+            cycle[axis] = scale
         if off < tolerance:
             return scale
+    if not strict:
+        return np.mean(cycle, axis=0)
     raise ValueError("the margins' targets contradict each other")
 
 
@@ -138,7 +143,7 @@ def calibrate(docs: DataFrame, margins: list[Margin], id_col: str = "doc_id", te
         if m.targets is not None and OTHER not in aim and OTHER in values:
             t[values.index(OTHER)] = max(0.0, 1 - t.sum())
         targets.append(t)
-    scale = rake(table, targets) if cells else table
+    scale = rake(table, targets, strict=False) if cells else table
     return Calibration(rows, named, [tuple(r[c] for c in cols) + (float(scale[place]),) for place, r in zip(at, cells)])
 
 
@@ -155,7 +160,7 @@ def mix(docs: DataFrame, margins: list[Margin], id_col: str = "doc_id", text_col
     null), so the draw is the same on any cluster and for repeated rows.
 
     Cases: a null value of a margin is the class ``(null)`` if named, else ``*``; a document without
-    words weighs nothing and shares its cell's probability; documents of a cell without tokens are
+    words weighs nothing and shares its cell's probability; contradicting targets give the compromise of ``rake``; documents of a cell without tokens are
     kept; ties don't arise; other columns are ignored; an empty table gives an empty result.
     """
     got = calibrate(docs, margins, id_col, text_col, tokens, seed)

@@ -287,6 +287,8 @@ def test_raking_meets_all_margins():
     assert log is None or np.isfinite(log).all()
     with pytest.raises(ValueError):
         mixing.rake(np.array([[1.0, 0.0], [0.0, 1.0]]), [np.array([0.9, 0.1]), np.array([0.1, 0.9])], rounds=200)
+    half = mixing.rake(np.array([[1.0, 0.0], [0.0, 1.0]]), [np.array([0.9, 0.1]), np.array([0.1, 0.9])], rounds=200, strict=False)
+    assert np.allclose(half, [[1, 0], [0, 1]])  # half-way between the two margins
 
 
 def test_mixing_probabilities_equal_a_plain_computation(spark):
