@@ -118,7 +118,7 @@ def characterise(df: DataFrame, cluster: str, features: list[str], tiny: float =
     return out.withColumn("tiny", F.col("share") < tiny)
 
 
-def mahalanobis(df: DataFrame, features: list[str], alpha: float = 0.025, csteps: int = 3, keep: float = 0.75,
+def mahalanobis(df: DataFrame, features: list[str], alpha: float = 0.025, keep: float = 0.75,
                 id_col: str | None = None) -> DataFrame:
     """Robust Mahalanobis distance.  Start from the mean / covariance,
     then C-steps (refit on the ``keep`` share with the smallest distances) as
@@ -152,8 +152,11 @@ def mahalanobis(df: DataFrame, features: list[str], alpha: float = 0.025, csteps
             out = out + t
         return out
 
+    d = cut_lineage(d)  # read in every step
     mu, inv = fit(d)
-    for _ in range(csteps):
+    seen: list[tuple] = []
+    while (mark := tuple(float(f"{v:.9g}") for v in [*mu, *inv.ravel()])) not in seen:
+        seen.append(mark)
         scored = d.withColumn("__d2", dist_col(mu, inv))
         cut = scored.select(F.percentile_approx("__d2", keep, 10000)).first()[0]
         mu, inv = fit(scored.where(F.col("__d2") <= cut))
@@ -209,12 +212,19 @@ def _grow(x: np.ndarray, rng: np.random.Generator, depth: int, limit: int):
     return ("node", f, s, _grow(x[left], rng, depth + 1, limit), _grow(x[~left], rng, depth + 1, limit))
 
 
-def _path(tree, row, depth=0):
-    while tree[0] == "node":
-        _, f, s, lt, rt = tree
-        tree = lt if row[f] < s else rt
-        depth += 1
-    return depth + _c_factor(tree[1])
+def _path_lengths(tree, x: np.ndarray) -> np.ndarray:
+    """Path length of every row of a batch: a node splits the row numbers that reach it."""
+    out = np.empty(len(x))
+    stack = [(tree, np.arange(len(x)), 0)]
+    while stack:
+        node, at, depth = stack.pop()
+        if node[0] == "leaf":
+            out[at] = depth + _c_factor(node[1])
+        elif len(at):
+            _, f, cut, left, right = node
+            low = x[at, f] < cut
+            stack += [(left, at[low], depth + 1), (right, at[~low], depth + 1)]
+    return out
 
 
 def isolation_forest(df: DataFrame, features: list[str], id_col: str, trees: int = 200, sample: int = 256,
@@ -254,12 +264,13 @@ def isolation_forest(df: DataFrame, features: list[str], id_col: str, trees: int
         ts = bc.value
         for pdf in it:
             x = pdf[features].to_numpy()
-            pl = np.array([np.mean([_path(t, row) for t in ts]) for row in x]) if len(x) else np.array([])
+            pl = sum((_path_lengths(t, x) for t in ts), np.zeros(len(x))) / len(ts)
             pdf = pdf[[id_col]].copy()
-            pdf["score"] = np.power(2.0, -pl / cn) if len(pl) else pl
+            pdf["score"] = np.power(2.0, -pl / cn)
             yield pdf
 
-    sc = d.mapInPandas(score, f"{id_col} {d.schema[id_col].dataType.simpleString()}, score double")
+    # kept, as the cut-off and the result both read the scores
+    sc = cut_lineage(d.mapInPandas(score, f"{id_col} {d.schema[id_col].dataType.simpleString()}, score double"))
     cut = sc.select(F.percentile_approx("score", 1 - share, 10000)).first()[0]
     return sc.withColumn("is_outlier", F.col("score") >= F.lit(cut))
 

@@ -77,3 +77,28 @@ def test_hash_sample_of_more_rows_than_there_are(spark):
         raise AssertionError("a guard without sampling must refuse")
     except ValueError:
         pass
+
+
+def test_batch_path_lengths_equal_a_walk_per_row():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 3))
+    tree = K._grow(x[:128], rng, 0, 7)
+
+    def walk(node, row, depth=0):
+        while node[0] == "node":
+            _, f, cut, left, right = node
+            node, depth = (left if row[f] < cut else right), depth + 1
+        return depth + K._c_factor(node[1])
+
+    assert np.allclose(K._path_lengths(tree, x), [walk(tree, r) for r in x])
+    assert len(K._path_lengths(tree, x[:0])) == 0
+
+
+def test_isolation_forest_and_mahalanobis_find_planted_outliers(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(400, 2)))] + [(1000 + i, 9.0 + i, -9.0) for i in range(8)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    scored = K.isolation_forest(df, ["x", "y"], "id", trees=40, sample=128, share=0.02)
+    assert {r.id for r in scored.orderBy(scored.score.desc()).limit(8).collect()} == set(range(1000, 1008))
+    flagged = {r.id for r in K.mahalanobis(df, ["x", "y"], id_col="id").where("is_outlier").collect()}
+    assert set(range(1000, 1008)) <= flagged and len(flagged) < 60
