@@ -37,8 +37,8 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn so that sources, languages and forms meet their target shares of tokens."""
-    return mixing.sample(docs, mixing.default_margins())
+    """Half of the tokens, drawn so that sources, languages and forms come to their target shares."""
+    return mixing.sample(docs, mixing.default_margins(), keep=mixing.KEEP)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 Documents fall into cells (source, language, topic).  Token counts per cell are raked: the cells'
 weights are scaled to the target of each margin in turn until all margins agree.  A document is
-then kept with a probability in proportion to its cell's scale, the largest being 1, so the kept
-tokens meet the targets in expectation and no document is repeated.
+then kept with the probability min(1, c * its cell's scale).  The share of tokens to keep is a
+target of its own that sets c, so a tiny cell with a huge scale is kept whole and doesn't set the
+rate of the others; no document is repeated.  Cells kept whole that would need more fall short of
+their margins' targets.
 
 Targets name the values that count; everything else of a margin is its class ``*``, so the cells
 are at most (sources + 1) x (languages + 1) x (topics + 1), whatever the corpus holds, and only
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 from prudent.llm.common import fraction_of, staged
 
 OTHER, NONE = "*", "(null)"
+#: share of the tokens that the registered query and the pipeline keep
+KEEP = 0.5
 #: named values of a margin; a margin with more should be mapped to groups first
 MAX_VALUES = 1000
 
@@ -91,11 +95,34 @@ def rake(tokens: np.ndarray, targets: list[np.ndarray], tolerance: float = 1e-9,
     raise ValueError("the margins' targets contradict each other")
 
 
+def rate(tokens: np.ndarray, scale: np.ndarray, keep: float | None) -> float:
+    """The ``c`` at which cells kept with min(1, c * scale) leave ``keep`` of all tokens.
+
+    None: the largest ``c`` that keeps no cell whole but those of the largest scale.  A share that
+    only cells of scale 0 could fill gives infinity: all others are kept whole.
+    """
+    if keep is not None and not 0 < keep <= 1:
+        raise ValueError("keep: a share above 0, 1 at most")
+    there = (tokens > 0) & (scale > 0)
+    if not there.any():
+        return 0.0
+    if keep is None:
+        return float(1 / scale[there].max())
+    order = np.argsort(-scale[there])
+    n, s = tokens[there][order], scale[there][order]
+    whole = np.append(0.0, np.cumsum(n))[:-1]  # tokens of the cells before, kept whole
+    rest = np.cumsum((n * s)[::-1])[::-1]
+    c = (keep * tokens.sum() - whole) / rest
+    fits = np.flatnonzero(c * s <= 1 + 1e-12)
+    return float(c[fits[0]]) if len(fits) else float("inf")
+
+
 class Calibration(NamedTuple):
-    """Slim rows (``doc_id, tokens, draw, m0 ..``), the named values of each margin, and (classes, scale) per cell."""
+    """Slim rows (``doc_id, tokens, draw, m0 ..``), the named values of each margin, (classes, scale) per cell, and the rate."""
     rows: DataFrame
     named: list[list[str]]
     scales: list[tuple]
+    rate: float
 
 
 def _classes(named: list[list[str]], columns: list[Column]) -> list[Column]:
@@ -112,7 +139,7 @@ def _draw(id_col: str, text_col: str, seed: int) -> Column:
 
 
 def calibrate(docs: DataFrame, margins: list[Margin], id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None,
-              seed: int = 97) -> Calibration:
+              seed: int = 97, keep: float | None = None) -> Calibration:
     """Read the texts once for tokens and classes, and rake the cells."""
     cols = [f"m{i}" for i in range(len(margins))]
     count = token_weight(F.col(f"`{text_col}`").cast("string")) if tokens is None else tokens
@@ -144,28 +171,30 @@ def calibrate(docs: DataFrame, margins: list[Margin], id_col: str = "doc_id", te
             t[values.index(OTHER)] = max(0.0, 1 - t.sum())
         targets.append(t)
     scale = rake(table, targets, strict=False) if cells else table
-    return Calibration(rows, named, [tuple(r[c] for c in cols) + (float(scale[place]),) for place, r in zip(at, cells)])
+    return Calibration(rows, named, [tuple(r[c] for c in cols) + (float(scale[place]),) for place, r in zip(at, cells)],
+                       rate(table, scale, keep))
 
 
-def _probability(scales: list[tuple], weight: float) -> float:
-    return weight / max(s[-1] for s in scales) if weight > 0 else 1.0
+def _probability(c: float, weight: float) -> float:
+    return min(1.0, c * weight) if weight > 0 else 1.0
 
 
 def mix(docs: DataFrame, margins: list[Margin], id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None,
-        seed: int = 97) -> DataFrame:
+        seed: int = 97, keep: float | None = None) -> DataFrame:
     """Calibrated inclusion of every document: ``doc_id``, the margins' classes, ``tokens``, ``weight``, ``probability``, ``selected``.
 
-    ``weight`` is the raked scale (target tokens over tokens there are), ``probability`` the scale
-    over the largest; ``selected`` compares it with a hash of the id (of the text where the id is
+    ``weight`` is the raked scale (target tokens over tokens there are), ``probability`` min(1, c *
+    scale) with c solved for ``keep``, the share of all tokens to keep (None: the scale over the
+    largest, so the rarest cell sets what is kept); ``selected`` compares it with a hash of the id (of the text where the id is
     null), so the draw is the same on any cluster and for repeated rows.
 
     Cases: a null value of a margin is the class ``(null)`` if named, else ``*``; a document without
     words weighs nothing and shares its cell's probability; contradicting targets give the compromise of ``rake``; documents of a cell without tokens are
     kept; ties don't arise; other columns are ignored; an empty table gives an empty result.
     """
-    got = calibrate(docs, margins, id_col, text_col, tokens, seed)
+    got = calibrate(docs, margins, id_col, text_col, tokens, seed, keep)
     cols = [f"m{i}" for i in range(len(margins))]
-    lookup = docs.sparkSession.createDataFrame([s + (_probability(got.scales, s[-1]),) for s in got.scales],
+    lookup = docs.sparkSession.createDataFrame([s + (_probability(got.rate, s[-1]),) for s in got.scales],
                                                ", ".join(f"k{i} string" for i in range(len(cols))) + ", weight double, probability double")
     classed = got.rows.select("doc_id", "tokens", "draw", *[c.alias(n) for n, c in zip(cols, _classes(got.named, [F.col(c) for c in cols]))])
     return (classed.join(F.broadcast(lookup), [F.col(c) == F.col(f"k{i}") for i, c in enumerate(cols)])
@@ -174,16 +203,16 @@ def mix(docs: DataFrame, margins: list[Margin], id_col: str = "doc_id", text_col
 
 
 def sample(docs: DataFrame, margins: list[Margin], id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None,
-           seed: int = 97) -> DataFrame:
+           seed: int = 97, keep: float | None = None) -> DataFrame:
     """The rows of ``docs`` that the mixture selects, with their columns as they are.
 
     Probabilities are looked up in place, without a join on the id, so repeated and null ids are
     decided row by row; cases as in ``mix``.
     """
-    got = calibrate(docs, margins, id_col, text_col, tokens, seed)
+    got = calibrate(docs, margins, id_col, text_col, tokens, seed, keep)
     if not got.scales:
         return docs.where(F.lit(False))
-    keep = F.create_map(*[x for s in got.scales for x in (F.lit("\x1f".join(s[:-1])), F.lit(_probability(got.scales, s[-1])))])
+    keep = F.create_map(*[x for s in got.scales for x in (F.lit("\x1f".join(s[:-1])), F.lit(_probability(got.rate, s[-1])))])
     names = _classes(got.named, _values(margins))
     return docs.where(_draw(id_col, text_col, seed) < F.element_at(keep, F.concat_ws("\x1f", *names)))
 

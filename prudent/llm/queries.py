@@ -139,7 +139,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op8_source_mixing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raked weight, inclusion probability and draw of every document."""
-    return mixing.mix(read(spark, sf_dir, "documents"), mixing.default_margins())
+    return mixing.mix(read(spark, sf_dir, "documents"), mixing.default_margins(), keep=mixing.KEEP)
 
 
 @_query("op9_token_counts")
