@@ -11,7 +11,7 @@ is valid where the value was:
   dates within the 400 years 1800-2199 (146,097 days = 189 x 773), IPv4 as 2**16 x 2**16, social
   security numbers as 898 areas x 99 groups x 9999 serials, North American telephone numbers as
   800 x 8,000,000, cards as two halves of the digits before a recomputed check digit;
-* strings (e-mail names and domains, bank account parts, secrets, other telephone numbers) are
+* strings of any length (e-mail names and domains, bank account parts, secrets, other telephone numbers) are
   permuted character by character within digits, lower and upper case letters: each round adds
   keyed digits of a hash of one half to the characters of the other half.
 
@@ -24,11 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
+#: a longer half of a string goes into the rounds by its hash, so the work stays linear in the length
+WIDE = 128
 
 # Expressions for both Java and Python's regex; the first that fits at a place wins.
 _EDGE, _END = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}+@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62})\.){1,8}[A-Za-z]{2,24}" + _END,
+    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62})\.){1,8}[A-Za-z]{2,24}" + _END,
     "secret": _EDGE + r"(?:(?:AKIA|ASIA)[A-Z0-9]{16}|(?:[Pp]assword|[Pp]asswd|[Ss]ecret|[Tt]oken|[Aa]pi_?[Kk]ey) ?[=:] ?[\"']?[A-Za-z0-9_\-]{8,128}[\"']?)" + _END,
     "date": _EDGE + r"(?:(?:1[89]|2[01])[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])|(?:0[1-9]|[12][0-9]|3[01])[./](?:0[1-9]|1[0-2])[./](?:1[89]|2[01])[0-9]{2})" + _END,
     "ip": r"(?<![A-Za-z0-9_.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![A-Za-z0-9_]|\.[0-9])",
@@ -43,6 +45,11 @@ ANY = _EDGE + "(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 _EPOCH, _DAYS = -62091, (189, 773)  # 1800-01-01 in days since 1970-01-01; 400 years
 
 
+def _let(value: Column, f) -> Column:
+    """``f(value)``, the value evaluated once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _hash(key: str, tweak: str, i: Column, half: Column) -> Column:
     """Non-negative 60-bit number from a keyed SHA-256 of the round and one half."""
     return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(tweak), i.cast("string"), half.cast("string")), 256), 1, 15),
@@ -88,8 +95,9 @@ def permute_text(text: Column, key: str, tweak: str) -> Column:
 
     def moved(part: Column, other: Column, i: Column) -> Column:
         chars = F.split(part, "")
+        half = F.when(F.char_length(other) > WIDE, F.sha2(other, 256)).otherwise(other)
         return F.when(F.char_length(part) == 0, part).otherwise(
-            F.array_join(F.transform(chars, lambda c, p: _shift(c, _stream(key, tweak, i, other, p))), ""))
+            _let(half, lambda h: F.array_join(F.transform(chars, lambda c, p: _shift(c, _stream(key, tweak, i, h, p))), "")))
 
     def step(acc: Column, i: Column) -> Column:
         even = i % 2 == 0
