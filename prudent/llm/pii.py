@@ -15,6 +15,7 @@ is valid where the value was:
   permuted character by character within digits, lower and upper case letters: each round adds
   keyed digits of a hash of one half to the characters of the other half.
 
+Where a match fails validation as a whole, valid values inside it are looked for (``_scanned``).
 Not touched: numbers that fail validation, and everything else of the text.
 """
 
@@ -42,6 +43,17 @@ PATTERNS = {
 #: any of them, without groups that capture; the common edge comes first, so the inside of a word is passed quickly
 ANY = _EDGE + "(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 
+#: characters of an IBAN by country
+_IBAN_LENGTHS = {c: int(w[2:]) for w in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 "
+    "GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 "
+    "MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 "
+    "VA22 VG24 XK20").split() for c in [w[:2]]}
+#: ``ANY`` after a character that is only looked at
+_NEXT = r"(?<=[\s\S])" + ANY
+#: characters after a match that one of another kind can reach, at most
+_REACH = 80
+
 _EPOCH, _DAYS = -62091, (189, 773)  # 1800-01-01 in days since 1970-01-01; 400 years
 
 
@@ -242,21 +254,92 @@ def _replaced(m: Column, kind: Column, key: str) -> Column:
     return out
 
 
+def _within(window: Column) -> Column:
+    """The value and kind that begin at the second character of a window where the first match isn't valid as a whole.
+
+    Kinds are tried in their order, cards and IBANs at each end of a group of characters, the longest
+    first; null when none is valid.
+    """
+    def at(expression: str) -> Column:
+        return F.regexp_extract(window, rf"^[\s\S]({expression})", 1)
+
+    def known(v: Column) -> Column:
+        """An IBAN has its country's length."""
+        n = F.element_at(F.create_map(*[F.lit(x) for pair in _IBAN_LENGTHS.items() for x in pair]), F.substring(v, 1, 2))
+        return F.char_length(F.regexp_replace(v, " ", "")) == F.coalesce(n, F.char_length(F.regexp_replace(v, " ", "")))
+
+    def longest(tries: Column, valid) -> Column:
+        return F.try_element_at(F.filter(tries, lambda v: F.when(v == "", F.lit(False)).otherwise(valid(v))), F.lit(1))
+
+    groups = F.split(at(PATTERNS["iban"]), " ")
+    ibans = _let(groups, lambda g: F.transform(F.sequence(F.size(g), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(g, 1, n), " ")))
+    # shorter than the match, a card may stand before a mark and more digits
+    cards = F.array(at(PATTERNS["card"]), *[at(r"(?<![A-Za-z0-9_+.\-])[0-9](?:[ \-]?[0-9]){%d}(?![A-Za-z0-9_]|\.[0-9])" % (n - 1)) for n in range(19, 12, -1)])
+    cards = F.when(at(PATTERNS["card"]) != "", cards).otherwise(F.array().cast("array<string>"))
+    found = {"date": longest(F.array(at(PATTERNS["date"])), lambda v: _date_of(v).isNotNull()), "ip": F.nullif(at(PATTERNS["ip"]), F.lit("")),
+             "ssn": longest(F.array(at(PATTERNS["ssn"])), ssn_valid), "iban": longest(ibans, lambda v: iban_valid(v) & known(v)),
+             "card": longest(cards, luhn_valid), "phone": F.nullif(at(PATTERNS["phone"]), F.lit(""))}
+
+    def told(kind: str, value: Column) -> Column:
+        return _let(value, lambda v: F.when(v.isNotNull(), F.struct(v.alias("m"), F.lit(kind).alias("kind"))))
+
+    return F.coalesce(*[told(kind, v) for kind, v in found.items()])
+
+
+def _scanned(text: Column) -> Column:
+    """The text as parts ``t, m, kind`` (what stands before a match, the match, its kind), read from match to match.
+
+    A match that isn't valid as a whole gives way to a valid value that begins with it (``_within``);
+    else its first character is a part without a kind, and the scan goes on after it.
+    """
+    places = F.regexp_count(text, F.lit(f"(?={ANY})"))  # no step finds a place that isn't one of these
+
+    def taken(s: Column, f: Column, v: Column) -> Column:
+        follows, n = F.concat(f["m"], f["p"][1]), F.char_length(v["m"])
+        part = F.struct(F.substring(f["p"][0], F.lit(2), F.char_length(f["p"][0])).alias("t"), v["m"].alias("m"), v["kind"].alias("kind"))
+        return F.struct(F.concat(s["parts"], F.array(part)).alias("parts"), F.substring(follows, n, F.char_length(follows)).alias("rest"))
+
+    def value(f: Column, kind: Column) -> Column:
+        window = F.concat(F.right(f["p"][0], F.lit(1)), f["m"], F.substring(f["p"][1], 1, _REACH))
+        nothing = F.struct(F.substring(f["m"], 1, 1).alias("m"), F.lit(None).cast("string").alias("kind"))
+        return F.when(kind.isNotNull(), F.struct(f["m"].alias("m"), kind.alias("kind"))).otherwise(F.coalesce(_within(window), nothing))
+
+    def step(s: Column, _: Column) -> Column:
+        # the rest begins with the last character that was read
+        first = F.struct(F.regexp_extract(s["rest"], _NEXT, 0).alias("m"), F.split(s["rest"], _NEXT, 2).alias("p"))
+        return _let(first, lambda f: F.when(F.size(f["p"]) == 2, _let(
+            _let(kind_of(f["m"]), lambda kind: value(f, kind)), lambda v: taken(s, f, v))).otherwise(s))
+
+    start = F.struct(F.array().cast("array<struct<t:string,m:string,kind:string>>").alias("parts"), F.concat(F.lit("\n"), text).alias("rest"))
+    end = lambda s: F.struct(F.substring(s["rest"], F.lit(2), F.char_length(s["rest"])).alias("t"),
+                             F.lit(None).cast("string").alias("m"), F.lit(None).cast("string").alias("kind"))
+    return F.aggregate(F.sequence(F.lit(1), places), start, step, lambda s: F.concat(s["parts"], F.array(end(s))))
+
+
+def _matches(text: Column) -> Column:
+    """Matches of ``ANY`` and their kinds, null where a match isn't valid as a whole."""
+    return F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
+
+
+def _whole(matches: Column) -> Column:
+    return F.forall(matches, lambda s: s["kind"].isNotNull())
+
+
 def pseudonymised(text: Column, key: str) -> Column:
     """The text with every valid match replaced; a null text stays null, one without a match as it is."""
-    found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
     between = F.split(text, ANY, -1)
     # a match's kind is told once, then the pseudonym of that kind is made
-    kinds = F.transform(found, lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
-    new = F.transform(kinds, lambda s: _replaced(s["m"], s["kind"], key))
-    parts = F.zip_with(between, new, lambda t, n: F.concat(t, F.coalesce(n, F.lit(""))))
-    return F.when(text.rlike(ANY), F.array_join(parts, "")).otherwise(text)
+    parts = _let(_matches(text), lambda found: F.when(_whole(found), F.zip_with(between, found, lambda t, s: F.struct(
+        t.alias("t"), s["m"].alias("m"), s["kind"].alias("kind")))).otherwise(_scanned(text)))
+    new = F.transform(parts, lambda s: F.concat(s["t"], F.coalesce(_replaced(s["m"], s["kind"], key), F.lit(""))))
+    return F.when(text.rlike(ANY), F.array_join(new, "")).otherwise(text)
 
 
 def found_kinds(text: Column) -> Column:
     """Kinds of the valid matches in order of appearance (an empty array for a null text)."""
-    kinds = F.filter(F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), kind_of), lambda k: k.isNotNull())
-    return F.coalesce(F.when(text.rlike(ANY), kinds), F.array().cast("array<string>"))
+    parts = _let(_matches(text), lambda found: F.when(_whole(found), F.transform(found, lambda s: s["kind"]))
+                 .otherwise(F.transform(_scanned(text), lambda s: s["kind"])))
+    return F.coalesce(F.when(text.rlike(ANY), F.filter(parts, lambda k: k.isNotNull())), F.array().cast("array<string>"))
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", length_col: str | None = None) -> DataFrame:

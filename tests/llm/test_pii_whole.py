@@ -1,7 +1,6 @@
 """Personal data that must not stay in clear: texts and expectations written apart from ``pii.PATTERNS``."""
 import re
 
-import pytest
 from pyspark.sql import functions as F
 
 from prudent.llm import pii
@@ -33,3 +32,28 @@ def test_long_strings_are_permuted_in_linear_time(spark):
     a, b = "x" * 40_000, "x" * 39_999 + "y"
     (new_a, _), (new_b, _) = replaced(spark, [f"{v}@example.com" for v in (a, b)])
     assert new_a != new_b and len(new_a) == len(new_b) == 40_012
+
+
+CARD, IBAN = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332"
+NEIGHBOURS = [(f"{CARD} 12/26", CARD, ["card"]), (f"{CARD} 123", CARD, ["card"]), (f"{CARD.replace(' ', '-')}-123 x", CARD.replace(" ", "-"), ["card"]),
+              (f"pay {IBAN} BIC CAIXESBB", IBAN, ["iban"]), ("call 555-123-4567 120 Main St", "555-123-4567", ["phone"]),
+              (f"12 27 {CARD} 9", CARD, ["card"]), (f"{CARD} 129 and {CARD} 12/26, a.b@example.com 2024-02-29", CARD, ["card", "card", "email", "date"]),
+              ("000-12-3456 7890 212-555-1234", "212-555-1234", ["phone"]), ("30.02.2024 1 212-555-1234", "212-555-1234", ["phone"]), ("é\U0001f600 " + CARD + " 12 é", CARD, ["card"])]
+
+
+def test_values_beside_other_numbers_are_found(spark):
+    for (text, value, kinds), (new, got) in zip(NEIGHBOURS, replaced(spark, [t for t, _, _ in NEIGHBOURS])):
+        assert got == kinds and value not in new and len(new) == len(text), (text, new, got)
+        if len(kinds) == 1:
+            at = text.index(value)
+            assert (new[:at], new[at + len(value):]) == (text[:at], text[at + len(value):])
+
+
+def test_a_value_beside_numbers_has_the_pseudonym_it_has_alone(spark):
+    alone, beside = replaced(spark, [CARD, f"{CARD} 123"])
+    assert beside[0] == alone[0] + " 123"
+
+
+def test_numbers_without_a_valid_value_stay(spark):
+    texts = ["4041894974608796", "1234 5678 9012 3456 78", "ES91 2100 0418 4502 0005 1333 BIC", "666-12-1234", "2023-02-29"]
+    assert replaced(spark, texts) == [(t, []) for t in texts]
