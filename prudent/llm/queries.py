@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prudent.llm import embeddings, langid, minhash, mixing, packing, pii, quality, tokenfile, unigram, urls
+from prudent.llm import (
+    conversation, embeddings, exact, langid, minhash, mixing, packing, pii, quality, resampling, tokenfile, unigram, urls)
 from prudent.llm.common import read
 
 QUERIES: dict = {}
@@ -146,3 +147,21 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram token counts of every document."""
     return unigram.token_counts(read(spark, sf_dir, "documents"))
+
+
+@_query("op11_importance_resampling")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents drawn towards the distribution of the benchmark texts."""
+    return resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@_query("op12_exact_dedup")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of equal text, told by a stateful stream over the table's files."""
+    return exact.deduplicate(spark, f"{sf_dir}/documents.parquet")
+
+
+@_query("op13_conversation_repair")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation after the planted damage."""
+    return conversation.repair(conversation.damage(read(spark, sf_dir, "conversations")), F.col("lost"))
