@@ -29,8 +29,10 @@ from prudent.llm.common import shared_path, staged
 
 #: bytes of retained texts (and rows) up to which they are broadcast to the copies; beyond, both sides are shuffled
 BROADCAST_BYTES, BROADCAST_ROWS = 32 << 20, 200_000
-_STORE = "spark.sql.streaming.stateStore.providerClass"
-_ON_DISK = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: settings of the stream's state: on disk, saved as changes, without space taken ahead in every partition's store
+_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+          "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+          "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 LOCATED = ["doc_id", "file", "row", "bytes", "digest", "text_sha256"]
 _STATE = "digest string, n long, keep struct<doc_id: long, file: string, row: long, bytes: long>"
 
@@ -88,17 +90,19 @@ def follow(spark: SparkSession, path: str, state: str, digest: Callable[[bytes],
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{state}/keys/batch={number}")
 
-    before = spark.conf.get(_STORE, None)
-    spark.conf.set(_STORE, _ON_DISK)
+    before = {name: spark.conf.get(name, None) for name in _STORE}
+    for name, value in _STORE.items():
+        spark.conf.set(name, value)
     try:
         query = (keyed.writeStream.outputMode("update").foreachBatch(put)
                  .option("checkpointLocation", f"{state}/stream").trigger(availableNow=True).start())
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(_STORE)
-        else:
-            spark.conf.set(_STORE, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
     # a key's count only grows, so its last state is the one of the highest count
     kept = spark.read.schema(_STATE).parquet(f"{state}/keys")
     return kept.groupBy("digest").agg(F.max(F.struct("n", "keep")).alias("s")).select("digest", "s.n", "s.keep")
