@@ -11,6 +11,7 @@ def load_all():
         q_text,
         q_profile,
         q_stats,
+        q_models,
         q_diagnose,
         q_series,
         q_findings,
