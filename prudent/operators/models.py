@@ -61,14 +61,16 @@ def tukey_hsd(df: DataFrame, value: str, group: str, by: list[str] = (), confide
     if confidence:
         fam = fam.withColumn("q_crit", F.expr(Q.range_quantile(confidence, "k", "df")))
     fam = fam.select(*[F.col(c).alias(f"__{c}") if c in by else F.col(c) for c in fam.columns if c != "ssw"])
+    one = F.struct(*fam.columns)
 
     def side(i: int) -> DataFrame:
         return m.select(*[F.col(c).alias(f"__{i}{c}") for c in by], F.col(group).alias(f"g{i}"), F.col("n").alias(f"n{i}"), F.col("m").alias(f"m{i}"))
 
     same = [F.col(f"__1{c}").eqNullSafe(F.col(f"__2{c}")) for c in by]
     pairs = side(1).join(F.broadcast(side(2)), [*same, F.col("g1") < F.col("g2")])
-    pairs = pairs.join(F.broadcast(fam), [F.col(f"__1{c}").eqNullSafe(F.col(f"__{c}")) for c in by] or F.lit(True))
-    se = f"sqrt(mse / 2 * (1.0D / n1 + 1.0D / n2))"
+    pairs = (pairs.join(fam, [F.col(f"__1{c}").eqNullSafe(F.col(f"__{c}")) for c in by]) if by
+             else pairs.withColumn("__fam", fam.select(one).scalar()).select("*", "__fam.*"))
+    se = "sqrt(mse / 2 * (1.0D / n1 + 1.0D / n2))"
     out = pairs.withColumn("__q", F.expr(f"abs(m1 - m2) / {nz(se)}"))
     exprs = {"mean_diff": "(m1 - m2)", "q": "__q", "df": "df", "p_value": Q.range_sf("__q", "k", "df")}
     if confidence:

@@ -14,6 +14,7 @@ def load_all():
         q_models,
         q_diagnose,
         q_series,
+        q_breaks,
         q_findings,
         q_cluster,
         q_io,
