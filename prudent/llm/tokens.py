@@ -184,7 +184,7 @@ class Encoder:
         values, counts = self._pieces(texts)
         coded = values.dictionary_encode()
         # the mark stands before a first piece, or before a mark of the text's own
-        ids = self._ids_of([p if p[:1] != _FIRST else p[1:] if p[1:2] == _FIRST else " " + p[1:] for p in coded.dictionary.to_pylist()])
+        ids = self._ids_of([p if p[:1] != _FIRST else p[1:] if p[1:2] == _FIRST else " " + p[1:] for p in coded.dictionary.to_numpy(zero_copy_only=False).tolist()])
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         at = coded.indices.to_numpy()
         begin, size = (np.cumsum(sizes) - sizes)[at], sizes[at]
