@@ -49,10 +49,10 @@ _IBAN_LENGTHS = {c: int(w[2:]) for w in (
     "GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 "
     "MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 "
     "VA22 VG24 XK20").split() for c in [w[:2]]}
-#: ``ANY`` after a character that is only looked at
-_NEXT = r"(?<=[\s\S])" + ANY
 #: characters after a match that one of another kind can reach, at most
 _REACH = 80
+#: pieces of text after a place that are looked at, and places whose parts are put together at once
+_PIECES, _BLOCK = 63, 256
 
 _EPOCH, _DAYS = -62091, (189, 773)  # 1800-01-01 in days since 1970-01-01; 400 years
 
@@ -286,34 +286,62 @@ def _within(window: Column) -> Column:
     return F.coalesce(*[told(kind, v) for kind, v in found.items()])
 
 
+def _candidates(text: Column) -> Column:
+    """``m, kind, after`` of every place where ``ANY`` fits, in order, and in front what stands before the first.
+
+    ``m`` is the valid value that begins at the place: the match, or where that isn't valid as a whole what ``_within`` finds, or
+    null.  ``after`` is the text from the place to the next.  Each is told from the match and at most ``_REACH`` characters after
+    it, so the work is linear in the text.
+    """
+    marked = F.concat(F.lit("\n"), text)  # the cut in front of a first character would leave nothing before it
+    pieces = F.split(marked, f"(?={ANY})", -1)
+    found = F.regexp_extract_all(marked, F.lit(f"(?=({ANY}))"), F.lit(1))
+    nothing = F.struct(F.lit(None).cast("string").alias("m"), F.lit(None).cast("string").alias("kind"))
+
+    def value(p: Column, m: Column, i: Column) -> Column:
+        def inside() -> Column:
+            # the pieces that follow are cut short: a candidate has two characters or more, so these cover match and reach
+            follow = F.transform(F.slice(p, i + 3, _PIECES), lambda x: F.substring(x, 1, _REACH))
+            ahead = F.substring(F.concat(F.element_at(p, i + 2), F.array_join(follow, "")), F.char_length(m) + 1, F.lit(_REACH))
+            return F.coalesce(_within(F.concat(F.right(F.element_at(p, i + 1), F.lit(1)), m, ahead)), nothing)
+
+        return _let(kind_of(m), lambda kind: F.when(kind.isNotNull(), F.struct(m.alias("m"), kind.alias("kind"))).otherwise(inside()))
+
+    def told(p: Column) -> Column:
+        first = F.struct(nothing["m"].alias("m"), nothing["kind"].alias("kind"), F.substring(F.element_at(p, 1), F.lit(2), F.char_length(F.element_at(p, 1))).alias("after"))
+        rest = F.transform(found, lambda m, i: _let(value(p, m, i), lambda v: F.struct(
+            v["m"].alias("m"), v["kind"].alias("kind"), F.element_at(p, i + 2).alias("after"))))
+        return F.concat(F.array(first), rest)
+
+    return _let(pieces, told)
+
+
 def _scanned(text: Column) -> Column:
-    """The text as parts ``t, m, kind`` (what stands before a match, the match, its kind), read from match to match.
+    """The text as parts ``t, m, kind`` (what stands before a value, the value, its kind), values taken from left to right.
 
-    A match that isn't valid as a whole gives way to a valid value that begins with it (``_within``);
-    else its first character is a part without a kind, and the scan goes on after it.
+    A place inside a value that was taken is passed over.  The fold carries how far the last value still reaches, never the
+    text, and its parts in blocks, so adding one copies only its block.
     """
-    places = F.regexp_count(text, F.lit(f"(?={ANY})"))  # no step finds a place that isn't one of these
+    part = "array<struct<t:string,m:string,kind:string>>"
 
-    def taken(s: Column, f: Column, v: Column) -> Column:
-        follows, n = F.concat(f["m"], f["p"][1]), F.char_length(v["m"])
-        part = F.struct(F.substring(f["p"][0], F.lit(2), F.char_length(f["p"][0])).alias("t"), v["m"].alias("m"), v["kind"].alias("kind"))
-        return F.struct(F.concat(s["parts"], F.array(part)).alias("parts"), F.substring(follows, n, F.char_length(follows)).alias("rest"))
+    def step(s: Column, c: Column) -> Column:
+        take = (s["over"] <= 0) & c["m"].isNotNull()
+        size = F.char_length(c["after"])
+        over = F.when(take, F.char_length(c["m"])).otherwise(s["over"])
+        left = F.when(over <= 0, c["after"]).when(over >= size, F.lit("")).otherwise(F.substring(c["after"], over + 1, size))
+        value = F.when(take, F.array(F.struct(F.lit("").alias("t"), c["m"].alias("m"), c["kind"].alias("kind")))).otherwise(F.array().cast(part))
+        text_ = F.array(F.struct(left.alias("t"), F.lit(None).cast("string").alias("m"), F.lit(None).cast("string").alias("kind")))
+        return F.struct(F.greatest(over - size, F.lit(0)).alias("over"), F.concat(s["out"], value, text_).alias("out"))
 
-    def value(f: Column, kind: Column) -> Column:
-        window = F.concat(F.right(f["p"][0], F.lit(1)), f["m"], F.substring(f["p"][1], 1, _REACH))
-        nothing = F.struct(F.substring(f["m"], 1, 1).alias("m"), F.lit(None).cast("string").alias("kind"))
-        return F.when(kind.isNotNull(), F.struct(f["m"].alias("m"), kind.alias("kind"))).otherwise(F.coalesce(_within(window), nothing))
+    def block(s: Column, c: Column) -> Column:
+        inner = F.aggregate(c, F.struct(s["over"].alias("over"), F.array().cast(part).alias("out")), step)
+        return _let(inner, lambda r: F.struct(r["over"].alias("over"), F.concat(s["out"], F.array(r["out"])).alias("out")))
 
-    def step(s: Column, _: Column) -> Column:
-        # the rest begins with the last character that was read
-        first = F.struct(F.regexp_extract(s["rest"], _NEXT, 0).alias("m"), F.split(s["rest"], _NEXT, 2).alias("p"))
-        return _let(first, lambda f: F.when(F.size(f["p"]) == 2, _let(
-            _let(kind_of(f["m"]), lambda kind: value(f, kind)), lambda v: taken(s, f, v))).otherwise(s))
+    def whole(c: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(c) - 1) / _BLOCK).cast("int")), lambda b: F.slice(c, b * _BLOCK + 1, _BLOCK))
+        return F.aggregate(blocks, F.struct(F.lit(0).alias("over"), F.array().cast(f"array<{part}>").alias("out")), block, lambda s: F.flatten(s["out"]))
 
-    start = F.struct(F.array().cast("array<struct<t:string,m:string,kind:string>>").alias("parts"), F.concat(F.lit("\n"), text).alias("rest"))
-    end = lambda s: F.struct(F.substring(s["rest"], F.lit(2), F.char_length(s["rest"])).alias("t"),
-                             F.lit(None).cast("string").alias("m"), F.lit(None).cast("string").alias("kind"))
-    return F.aggregate(F.sequence(F.lit(1), places), start, step, lambda s: F.concat(s["parts"], F.array(end(s))))
+    return _let(_candidates(text), whole)
 
 
 def _matches(text: Column) -> Column:
@@ -325,21 +353,34 @@ def _whole(matches: Column) -> Column:
     return F.forall(matches, lambda s: s["kind"].isNotNull())
 
 
-def pseudonymised(text: Column, key: str) -> Column:
-    """The text with every valid match replaced; a null text stays null, one without a match as it is."""
+def parts_of(text: Column) -> Column:
+    """The text as parts ``t, m, kind``: what stands before a value, the value (null after the last), its kind.  Null for a null text."""
+    nothing = F.lit(None).cast("string")
     between = F.split(text, ANY, -1)
-    # a match's kind is told once, then the pseudonym of that kind is made
     parts = _let(_matches(text), lambda found: F.when(_whole(found), F.zip_with(between, found, lambda t, s: F.struct(
         t.alias("t"), s["m"].alias("m"), s["kind"].alias("kind")))).otherwise(_scanned(text)))
-    new = F.transform(parts, lambda s: F.concat(s["t"], F.coalesce(_replaced(s["m"], s["kind"], key), F.lit(""))))
-    return F.when(text.rlike(ANY), F.array_join(new, "")).otherwise(text)
+    return F.when(text.rlike(ANY), parts).when(text.isNotNull(), F.array(F.struct(text.alias("t"), nothing.alias("m"), nothing.alias("kind"))))
+
+
+def rendered(parts: Column, key: str) -> Column:
+    """The text of the parts, each value under its pseudonym."""
+    # a match's kind was told once, then the pseudonym of that kind is made
+    return F.array_join(F.transform(parts, lambda s: F.concat(s["t"], F.coalesce(_replaced(s["m"], s["kind"], key), F.lit("")))), "")
+
+
+def kinds_in(parts: Column) -> Column:
+    """Kinds of the values in order of appearance (an empty array for a null text)."""
+    kinds = F.filter(F.transform(parts, lambda s: s["kind"]), lambda k: k.isNotNull())
+    return F.coalesce(kinds, F.array().cast("array<string>"))
+
+
+def pseudonymised(text: Column, key: str) -> Column:
+    """The text with every valid value replaced; a null text stays null, one without a value as it is."""
+    return rendered(parts_of(text), key)
 
 
 def found_kinds(text: Column) -> Column:
-    """Kinds of the valid matches in order of appearance (an empty array for a null text)."""
-    parts = _let(_matches(text), lambda found: F.when(_whole(found), F.transform(found, lambda s: s["kind"]))
-                 .otherwise(F.transform(_scanned(text), lambda s: s["kind"])))
-    return F.coalesce(F.when(text.rlike(ANY), F.filter(parts, lambda k: k.isNotNull())), F.array().cast("array<string>"))
+    return kinds_in(parts_of(text))
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", length_col: str | None = None) -> DataFrame:

@@ -115,10 +115,9 @@ PII_KEY = "registered-query-key"
 @_query("op2_pii_pseudonyms")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data under pseudonyms, and the kinds that were found."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    kinds = pii.found_kinds(F.col("text"))
-    return docs.select("doc_id", pii.pseudonymised(F.col("text"), PII_KEY).alias("text"), kinds.alias("kinds")) \
-               .withColumn("n_found", F.size("kinds"))
+    parts = read(spark, sf_dir, "documents").select("doc_id", pii.parts_of(F.col("text")).alias("parts"))
+    return parts.select("doc_id", pii.rendered(F.col("parts"), PII_KEY).alias("text"), pii.kinds_in(F.col("parts")).alias("kinds")) \
+                .withColumn("n_found", F.size("kinds"))
 
 
 @_query("op4_quality_rules")
