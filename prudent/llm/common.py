@@ -37,11 +37,22 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 def keep_ids(df: DataFrame, ids: DataFrame, df_id: str, id_col: str, how: str = "left_semi") -> DataFrame:
     """Rows of ``df`` whose id is in ``ids`` (distinct, not null; ``how="left_anti"``: is not).
 
-    The ids are broadcast only below a checked count; beyond it the join shuffles both sides.
+    The ids are broadcast only below a checked count; beyond it the join shuffles both sides.  They meet
+    ``df`` under a name that none of its columns has.
     """
+    free = free_name(df, "id")
+    ids = ids.select(F.col(id_col).alias(free))
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return df.join(ids, F.col(f"`{df_id}`") == F.col(id_col), how)
+    return df.join(ids, F.col(f"`{df_id}`") == F.col(free), how)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with marks before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def fraction_of(*cols: Column | str, seed: int = 0) -> Column:

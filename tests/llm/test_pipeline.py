@@ -48,3 +48,29 @@ def test_stages(spark):
 def test_registered():
     names = set(E.queries())
     assert "pipeline" in names and {f"op{n}" for n in range(1, 11)} <= {n.split("_")[0] for n in names}
+
+
+def run_stages(spark, docs):
+    for name, stage in P.STAGES[:-1]:
+        out = staged(stage(spark, docs, SF), name)
+        assert out.columns == docs.columns, name
+        docs = out
+    return docs, staged(P.STAGES[-1][1](spark, docs, SF), "packed")
+
+
+def test_nulls_repeats_and_clashing_names_pass_all_stages(spark):
+    from pyspark.sql import functions as F
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = [(None, None, None, None, None), (7_000_000, None, "en", "s", None), (7_000_001, "", None, None, 0), (None, "word " * 80, "en", None, 1)]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema)).unionByName(docs.limit(5))
+    for name in ("__gone", "id", "_id", "__id", "kept", "component_id", "weight", "scale", "p", "n", "prob", "u", "length", "n_words", "word_chars", "parts", "kind"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    docs = staged(docs, "odd")
+    last, packed = run_stages(spark, docs)
+    assert 0 < last.count() < docs.count() and last.where("`__gone` <> 'clash' OR id <> 'clash'").count() == 0
+    assert set(r.doc_id for r in packed.collect()) == set(r.doc_id for r in last.collect())
+
+
+def test_an_empty_table_passes_all_stages(spark):
+    last, packed = run_stages(spark, spark.read.parquet(f"{SF}/documents.parquet").where("false"))
+    assert last.count() == packed.count() == 0
