@@ -22,7 +22,7 @@ _PRINTABLE = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >=
 _SPELL = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 _BLANK = chr(_SPELL[32])
 #: characters of text whose pieces are coded at once
-SLICE_CHARS = 1 << 21
+SLICE_CHARS = 1 << 20
 
 #: stands before a text that Arrow cuts, and marks its first piece
 _FIRST = "\0"
@@ -49,7 +49,7 @@ class Encoder:
     younger is full, so frequent pieces stay and memory is bounded.
     """
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 150_000):
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -64,9 +64,8 @@ class Encoder:
         line_end = self._ids("\n")
         self.newline = line_end[0] if len(line_end) == 1 else None
         self.line_end = np.array(line_end, "<u4").tobytes()
-        #: the model alone, for words that the pre-tokenizer would not cut: no offsets, no alignment, no cache beside ours
-        self.model = Tokenizer.from_str(self.tokenizer.to_str()).model
-        self.model._resize_cache(0)
+        #: the model alone, for words that the pre-tokenizer would not cut: no offsets, no alignment
+        self.model = self.tokenizer.model
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
