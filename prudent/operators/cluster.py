@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prudent.functions.scalar import safe_div
-from prudent.operators.graph import connected_components
 from prudent.session import cut_lineage
 
 
@@ -358,41 +357,3 @@ def dtw_kmeans(series: DataFrame, key: str, k: int = 3, band: int = 5, seed: int
         if mark in seen:
             return out.drop("y")
         seen.append(mark)
-
-
-def dbscan(df: DataFrame, id_col: str, features: list[str], eps: float, min_pts: int) -> DataFrame:
-    """DBSCAN on a grid of eps-wide cells.
-
-    Neighbours are searched only in the 3^d adjacent cells (an equi-join on
-    cell keys, then the exact distance test), so the work follows local
-    density within eps rather than the size of any group.  Points with at
-    least ``min_pts`` neighbours (self included) are core; clusters are the
-    connected components of the core-core eps graph, however long their
-    chains; border points take the smallest neighbouring core label; the
-    rest is noise."""
-    import itertools
-    dim = len(features)
-    cells = [F.floor(F.col(f) / eps).cast("bigint").alias(f"__c{i}") for i, f in enumerate(features)]
-    pts = df.select(F.col(id_col).alias("id"), *[F.col(f).alias(f"__x{i}") for i, f in enumerate(features)], *cells)
-    offs = [list(o) for o in itertools.product((-1, 0, 1), repeat=dim)]
-    probe = pts.select(F.col("id").alias("id_a"), *[F.col(f"__x{i}").alias(f"a{i}") for i in range(dim)],
-                       F.explode(F.array(*[F.array(*[F.lit(v) for v in o]) for o in offs])).alias("__o"),
-                       *[F.col(f"__c{i}") for i in range(dim)])
-    probe = probe.select("id_a", *[f"a{i}" for i in range(dim)],
-                         *[(F.col(f"__c{i}") + F.col("__o")[i]).alias(f"__c{i}") for i in range(dim)])
-    cand = probe.join(pts.withColumnRenamed("id", "id_b"), [f"__c{i}" for i in range(dim)])
-    d2 = sum(((F.col(f"a{i}") - F.col(f"__x{i}")) ** 2 for i in range(dim)), F.lit(0.0))
-    edges = cand.where(d2 <= eps * eps).select("id_a", "id_b")
-    edges = cut_lineage(edges)
-    deg = edges.groupBy("id_a").agg(F.count("*").alias("deg"))
-    core = deg.where(F.col("deg") >= min_pts).select(F.col("id_a").alias("id"))
-    cc = edges.join(core.withColumnRenamed("id", "id_a"), "id_a").join(core.withColumnRenamed("id", "id_b"), "id_b")
-    linked = connected_components(cc.where("id_a > id_b"), "id_a", "id_b")
-    lab = core.join(linked, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("cluster"))
-    border = edges.join(lab.select(F.col("id").alias("id_b"), F.col("cluster").alias("cb")), "id_b") \
-        .join(core.withColumnRenamed("id", "id_a"), "id_a", "left_anti").groupBy("id_a").agg(F.min("cb").alias("cb"))
-    out = pts.select("id").join(lab, "id", "left").join(border.withColumnRenamed("id_a", "id"), "id", "left")
-    return out.select(F.col("id").alias(id_col),
-                      F.coalesce("cluster", "cb").alias("cluster"),
-                      F.when(F.col("cluster").isNotNull(), "core").when(F.col("cb").isNotNull(), "border")
-                      .otherwise("noise").alias("kind"))

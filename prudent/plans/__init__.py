@@ -17,6 +17,7 @@ def load_all():
         q_breaks,
         q_findings,
         q_cluster,
+        q_robust,
         q_io,
         q_stream,
         q_extra,

@@ -427,7 +427,7 @@ def addressable(spark, sf):
 
 @query("k06_dbscan")
 def dbscan_q(spark, sf):
-    from prudent.operators.cluster import dbscan
+    from prudent.operators.robust import density_clusters as dbscan
     from prudent.plans.q_cluster import customer_features
     c = customer_features(Tables(spark, sf))
     c = c.select("c_custkey", (F.col("c_acctbal") / 1000.0).alias("a"), (F.col("avg_value") / 50000.0).alias("b"))

@@ -4,6 +4,7 @@ import random
 import numpy as np
 
 from prudent.operators import cluster as K
+from prudent.operators import robust as B
 from prudent.operators import relational as R
 from prudent.operators.graph import connected_components
 
@@ -19,7 +20,7 @@ def test_components_of_a_long_chain_and_a_star(spark):
 
 def test_dbscan_follows_a_chain_of_300_points(spark):
     pts = [(i, 0.9 * i, 0.0) for i in range(300)] + [(1000 + i, 500.0 + 0.1 * i, 9.0) for i in range(5)] + [(2000, -50.0, 0.0)]
-    got = K.dbscan(spark.createDataFrame(pts, "id long, x double, y double"), "id", ["x", "y"], 1.0, 3).collect()
+    got = B.density_clusters(spark.createDataFrame(pts, "id long, x double, y double"), "id", ["x", "y"], 1.0, 3).collect()
     assert {r.cluster for r in got if r.id < 300} == {1}
     assert {r.id: r.kind for r in got}[0] == "border" and {r.id: r.kind for r in got}[2000] == "noise"
     assert {r.cluster for r in got if 1000 <= r.id < 2000} == {1000}
@@ -41,7 +42,7 @@ def test_dbscan_equals_brute_force(spark):
                 label[p] = a
                 stack += [q for q in near[p] if q in core]
     want = {a: (label[a] if a in core else min((label[q] for q in near[a] if q in core), default=None)) for a, _, _ in pts}
-    got = {r.id: r.cluster for r in K.dbscan(spark.createDataFrame(pts, "id long, x double, y double"), "id", ["x", "y"], 0.3, 5).collect()}
+    got = {r.id: r.cluster for r in B.density_clusters(spark.createDataFrame(pts, "id long, x double, y double"), "id", ["x", "y"], 0.3, 5).collect()}
     assert got == want
 
 
