@@ -540,8 +540,9 @@ def range_buckets(rows: int) -> int:
 
 
 def bucketed_cumcount(df: DataFrame, by: list[str], value: str, weight: str | None = None,
-                      buckets: int | None = None) -> DataFrame:
-    """Cumulative weight strictly below each distinct value, per group, at scale.
+                      buckets: int | None = None, extra: dict[str, Column] | None = None) -> DataFrame:
+    """Cumulative weight strictly below each distinct value, per group, at scale.  ``extra`` are further aggregates of
+    a value's rows, which pass along.
 
     1. aggregate to distinct (group, value) with their weight (a hot value is one row);
     2. cut each group's value range into ``buckets`` ranges at approximate
@@ -553,7 +554,8 @@ def bucketed_cumcount(df: DataFrame, by: list[str], value: str, weight: str | No
     """
     w = F.sum(weight) if weight else F.count("*")
     # read three times below: materialised once, so the input is scanned once
-    cnt = cut_lineage(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(w.alias("__w")))
+    cnt = cut_lineage(df.where(F.col(value).isNotNull()).groupBy(*by, value)
+                      .agg(w.alias("__w"), *[c.alias(n) for n, c in (extra or {}).items()]))
     buckets = buckets or range_buckets(cnt.count())
     qs = [i / buckets for i in range(1, buckets)]
     bounds = cnt.groupBy(*by).agg(F.percentile_approx(value, qs, 10000).alias("__b"))
@@ -569,18 +571,19 @@ def bucketed_cumcount(df: DataFrame, by: list[str], value: str, weight: str | No
     c = c.join(tot.drop("__bw"), by + ["__bk"])
     wi = Window.partitionBy(*by, "__bk").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     c = c.withColumn("below", F.col("__off") + F.coalesce(F.sum("__w").over(wi), F.lit(0)))
-    return c.select(*by, value, F.col("__w").alias("ties"), "below")
+    return c.select(*by, value, F.col("__w").alias("ties"), "below", *(extra or {}))
 
 
 def avg_rank(df: DataFrame, value: str, by: list[str] | None = None, out: str = "rank",
-             buckets: int | None = None) -> DataFrame:
+             buckets: int | None = None, weight: str | None = None, extra: dict[str, Column] | None = None) -> DataFrame:
     """Average ranks with ties and tie-group sizes, per distinct value.
 
-    Returns (by..., value, rank, ties); join back on (by, value) for row ranks.
+    Returns (by..., value, rank, ties, extra...).  Rank sums need no row: ``extra`` counts of a value's
+    rows times its rank; join back on (by, value) only for the ranks of rows.
     """
     by = _list(by)
-    c = bucketed_cumcount(df, by, value, buckets=buckets)
-    return c.select(*by, value, (F.col("below") + (F.col("ties") + 1) / 2.0).alias(out), "ties")
+    c = bucketed_cumcount(df, by, value, weight, buckets, extra)
+    return c.select(*by, value, (F.col("below") + (F.col("ties") + 1) / 2.0).alias(out), "ties", *(extra or {}))
 
 
 # ---------------------------------------------------------------------------

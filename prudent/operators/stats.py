@@ -19,12 +19,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prudent.functions import dist as D
 from prudent.functions.dist import SPARK
 from prudent.operators.relational import avg_rank
+from prudent.session import cut_lineage
 
 Z975 = D.Z975
 
@@ -209,18 +210,21 @@ def pearson(df: DataFrame, x: str, y: str, by=None) -> DataFrame:
     return finalize(s, corr_exprs(), keep=by)
 
 
-def rank_column(df: DataFrame, value: str, by: list[str], out: str) -> DataFrame:
-    """Average (tie-aware) rank of ``value`` within ``by`` joined back to rows."""
-    r = avg_rank(df, value, by, out=out).drop("ties")
-    return df.join(r, by + [value], "left")
-
-
 def spearman(df: DataFrame, x: str, y: str, by=None) -> DataFrame:
-    """Spearman rho = Pearson r of average ranks."""
+    """Spearman rho = Pearson r of average ranks, over the distinct pairs with their counts.
+
+    Both ranks have the mean (n + 1) / 2, so sums are taken around it.
+    """
     by = _by(by)
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    d = rank_column(rank_column(d, x, by, "__rx"), y, by, "__ry")
-    s = d.groupBy(*by).agg(F.count("*").alias("n"), F.corr("__rx", "__ry").alias("r"))
+    pairs = cut_lineage(d.groupBy(*by, x, y).agg(F.count("*").alias("__c")))
+    for c, out in ((x, "__rx"), (y, "__ry")):
+        pairs = pairs.join(avg_rank(pairs, c, by, out=out, weight="__c").drop("ties"), by + [c])
+    total = pairs.groupBy(*by).agg(F.sum("__c").alias("n"))
+    middle = (F.col("n") + 1) / 2.0
+    pairs = pairs.join(total, by) if by else pairs.withColumn("n", total.select("n").scalar())
+    u, v = F.col("__rx") - middle, F.col("__ry") - middle
+    s = pairs.groupBy(*by).agg(F.first("n").alias("n"), (F.sum(F.col("__c") * u * v) / F.sqrt(F.nullif(F.sum(F.col("__c") * u * u) * F.sum(F.col("__c") * v * v), F.lit(0.0)))).alias("r"))
     return finalize(s, corr_exprs(), keep=by)
 
 
@@ -258,25 +262,29 @@ def paired_t(df: DataFrame, a: str, b: str, by=None) -> DataFrame:
     return finalize(s, paired_exprs(), keep=by)
 
 
-def _tie_term(r: DataFrame, by: list[str]) -> DataFrame:
-    return r.groupBy(*by).agg(F.sum(F.pow(F.col("ties"), 3) - F.col("ties")).alias("tie_term"))
+def _tie_sum() -> Column:
+    """Sum of t^3 - t over the groups of equal values."""
+    return F.sum(F.pow(F.col("ties"), 3) - F.col("ties")).alias("tie_term")
+
+
+def _beside(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """Two aggregates of the same groups side by side (one row each without groups)."""
+    if by:
+        return left.join(right, by)
+    return left.withColumn("__one", right.select(F.struct(*right.columns)).scalar()).select("*", "__one.*").drop("__one")
 
 
 def mann_whitney(df: DataFrame, value: str, group: str, g1, g2, by=None) -> DataFrame:
     """Mann-Whitney U with tie-corrected normal p, rank-biserial r and
-    Glass's delta (group 2 as the reference)."""
+    Glass's delta (group 2 as the reference).  Rank sums come from the distinct values and their counts."""
     by = _by(by)
     d = df.where(F.col(group).isin(g1, g2) & F.col(value).isNotNull())
-    r = avg_rank(d, value, by, out="__rk")
-    j = d.join(r.drop("ties"), by + [value])
-    s = j.groupBy(*by).agg(
-        F.count_if(F.col(group) == g1).alias("n1"), F.count_if(F.col(group) == g2).alias("n2"),
-        F.sum(F.when(F.col(group) == g1, F.col("__rk"))).alias("r1"),
-        F.avg(F.when(F.col(group) == g1, F.col(value))).alias("m1"),
-        F.avg(F.when(F.col(group) == g2, F.col(value))).alias("m2"),
-        F.stddev_samp(F.when(F.col(group) == g2, F.col(value))).alias("sd2"))
-    s = s.join(_tie_term(r, by), by) if by else s.withColumn("tie_term", _tie_term(r, by).scalar())
-    return finalize(s, mann_whitney_exprs(), keep=by)
+    first, second = F.col(group) == g1, F.col(group) == g2
+    r = avg_rank(d, value, by, out="__rk", extra={"__c1": F.count_if(first), "__c2": F.count_if(second)})
+    ranks = r.groupBy(*by).agg(F.sum("__c1").alias("n1"), F.sum("__c2").alias("n2"), F.sum(F.col("__c1") * F.col("__rk")).alias("r1"), _tie_sum())
+    moments = d.groupBy(*by).agg(F.avg(F.when(first, F.col(value))).alias("m1"), F.avg(F.when(second, F.col(value))).alias("m2"),
+                                 F.stddev_samp(F.when(second, F.col(value))).alias("sd2"))
+    return finalize(_beside(ranks, moments, by), mann_whitney_exprs(), keep=by)
 
 
 def wilcoxon(df: DataFrame, a: str, b: str, by=None) -> DataFrame:
@@ -284,14 +292,20 @@ def wilcoxon(df: DataFrame, a: str, b: str, by=None) -> DataFrame:
     by = _by(by)
     d = df.withColumn("__d", F.col(a) - F.col(b)).where(F.col("__d").isNotNull() & (F.col("__d") != 0)) \
         .withColumn("__ad", F.abs("__d"))
-    r = avg_rank(d, "__ad", by, out="__rk")
-    j = d.join(r.drop("ties"), by + ["__ad"])
-    s = j.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.when(F.col("__d") > 0, F.col("__rk")).otherwise(0))
-                           .alias("w_plus"))
-    s = s.join(_tie_term(r, by), by) if by else s.withColumn("tie_term", _tie_term(r, by).scalar())
+    r = avg_rank(d, "__ad", by, out="__rk", extra={"__up": F.count_if(F.col("__d") > 0)})
+    s = r.groupBy(*by).agg(F.sum("ties").alias("n"), F.sum(F.col("__up") * F.col("__rk")).alias("w_plus"), _tie_sum())
     return finalize(s, wilcoxon_exprs(), keep=by)
 
 
+def _group_ranks(d: DataFrame, value: str, group: str, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows and rank sum of every level of ``group``, and the tie term, from the distinct values with their levels' counts."""
+    counts = d.groupBy(*by, value, group).agg(F.count("*").alias("__c"))
+    r = cut_lineage(avg_rank(counts, value, by, out="__rk", weight="__c", extra={"__g": F.collect_list(F.struct(F.col(group).alias("g"), "__c"))}))
+    e = r.select(*by, "__rk", F.explode("__g").alias("__e")).select(*by, F.col("__e.g").alias(group), F.col("__e.__c").alias("__c"), "__rk")
+    g = e.groupBy(*by, group).agg(F.sum("__c").alias("ni"), F.sum(F.col("__c") * F.col("__rk")).alias("ri"))
+    return g, r.groupBy(*by).agg(_tie_sum())
+
+
 def anova(df: DataFrame, value: str, group: str, by=None) -> DataFrame:
     """X11: one-way ANOVA from per-group n / mean / variance; eta^2, omega^2."""
     by = _by(by)
@@ -305,15 +319,18 @@ def anova(df: DataFrame, value: str, group: str, by=None) -> DataFrame:
     return finalize(s, anova_exprs(), keep=by)
 
 
+#: groups up to which the table of a family's groups is broadcast to itself
+MAX_GROUPS = 100_000
+
+
 def group_pairs(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
     """Unordered pairs of *groups* (rows of a k-row aggregate, never raw
-    rows): an equi-join on the family keys (a constant key when there are
-    none) followed by g1 < g2."""
-    keys = list(by) or ["__fam"]
-    if not by:
-        a, b = a.withColumn("__fam", F.lit(1)), b.withColumn("__fam", F.lit(1))
-    p = a.join(b, keys).where(F.col("g1") < F.col("g2"))
-    return p if by else p.drop("__fam")
+    rows), ``g1 < g2`` within a family.  The result has a row a pair; the second side is broadcast behind a check of its size."""
+    if b.count() > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} groups: the pairs are the result")
+    b = b.select(*[F.col(c).alias(f"__{c}") if c in by else F.col(c) for c in b.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    return a.join(F.broadcast(b), [*same, F.col("g1") < F.col("g2")]).drop(*[f"__{c}" for c in by])
 
 
 def pairwise_welch(df: DataFrame, value: str, group: str, by=None) -> DataFrame:
@@ -332,26 +349,19 @@ def pairwise_welch(df: DataFrame, value: str, group: str, by=None) -> DataFrame:
 def kruskal(df: DataFrame, value: str, group: str, by=None) -> DataFrame:
     """Kruskal-Wallis H with tie correction, eta^2."""
     by = _by(by)
-    d = df.where(F.col(value).isNotNull())
-    r = avg_rank(d, value, by, out="__rk")
-    j = d.join(r.drop("ties"), by + [value])
-    g = j.groupBy(*by, group).agg(F.count("*").alias("ni"), F.sum("__rk").alias("ri"))
+    g, ties = _group_ranks(df.where(F.col(value).isNotNull()), value, group, by)
     s = g.groupBy(*by).agg(F.count("*").alias("k"), F.sum("ni").alias("N"),
                            F.sum(F.col("ri") * F.col("ri") / F.col("ni")).alias("s"))
-    s = s.join(_tie_term(r, by), by) if by else s.withColumn("tie_term", _tie_term(r, by).scalar())
-    return finalize(s, kruskal_exprs(), keep=by)
+    return finalize(_beside(s, ties, by), kruskal_exprs(), keep=by)
 
 
 def dunn(df: DataFrame, value: str, group: str, method: str = "holm", by=None) -> DataFrame:
     """Dunn pairwise z on mean ranks (tie-corrected), adjusted p."""
     by = _by(by)
-    d = df.where(F.col(value).isNotNull())
-    r = avg_rank(d, value, by, out="__rk")
-    j = d.join(r.drop("ties"), by + [value])
-    g = j.groupBy(*by, group).agg(F.count("*").alias("ni"), F.avg("__rk").alias("mr"))
-    tot = g.groupBy(*by).agg(F.sum("ni").alias("N"))
-    tt = _tie_term(r, by)
-    g = g.join(tot, by).join(tt, by) if by else g.withColumn("N", tot.scalar()).withColumn("tie_term", tt.scalar())
+    g, ties = _group_ranks(df.where(F.col(value).isNotNull()), value, group, by)
+    g = cut_lineage(g.withColumn("mr", F.col("ri") / F.col("ni")))
+    both = _beside(g.groupBy(*by).agg(F.sum("ni").alias("N")), ties, by)
+    g = g.join(both, by) if by else g.withColumn("__one", both.select(F.struct("N", "tie_term")).scalar()).select("*", "__one.*")
     a = g.select(*by, F.col(group).alias("g1"), F.col("ni").alias("n1"), F.col("mr").alias("mr1"), "N", "tie_term")
     b = g.select(*by, F.col(group).alias("g2"), F.col("ni").alias("n2"), F.col("mr").alias("mr2"))
     p = group_pairs(a, b, by)
