@@ -48,3 +48,13 @@ def test_stream_ratio_equals_batch(spark):
         F.round(F.sum(F.when(F.col("event_type") == "purchase", F.col("value")).otherwise(0.0)) / F.sum("value"), 6)
         .alias("ratio"))
     assert sorted(tuple(r) for r in s.select("day", "ratio").collect()) == sorted(tuple(r) for r in b.collect())
+
+
+def test_rows_out_of_order_are_folded_in_order_and_late_ones_counted(spark):
+    import __spark_entry__ as E
+    q = E.queries()
+    got = q["r01_cusum_event_time"](spark, SF_SMALL).collect()
+    whole = {r.c_mktsegment: r.n for r in q["g06_cusum"](spark, SF_SMALL).collect()}
+    assert {r.c_mktsegment: r.n + r.n_late for r in got} == whole and sum(r.n_late for r in got) > 0
+    days = q["r02_ratio_closed_days"](spark, SF_SMALL).collect()
+    assert sum(r.n + r.n_late for r in days) == spark.read.parquet(f"{SF_SMALL}/events.parquet").count() and sum(r.n_late for r in days) > 0
