@@ -16,6 +16,7 @@ def load_all():
         q_series,
         q_breaks,
         q_findings,
+        q_artifacts,
         q_cluster,
         q_robust,
         q_io,
