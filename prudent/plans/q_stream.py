@@ -45,9 +45,9 @@ def stream_cusum(spark, sf):
     return R.stream_cusum(spark, d, "c_mktsegment", 0.5, 5.0)
 
 
-# Four landings of the series, each row up to twenty weeks early or late by a rule on its period.  A row is late when the
+# Four landings of the series, each row up to twenty weeks early or late by a rule on its period, every thirteenth 200 weeks later still.  A row is late when the
 # watermark had passed it before the landing began: the latest time of all landings but the last one, less the delay.
-_LANDING = "CAST(greatest(0, least(3, floor(((t - t0) + (t * 7919) % 41 - 20) * 4 / (t1 - t0 + 1)))) AS INT)"
+_LANDING = "CAST(greatest(0, least(3, floor(((t - t0) + (t * 7919) % 41 - 20 + CASE WHEN t % 13 = 0 THEN 200 ELSE 0 END) * 4 / (t1 - t0 + 1)))) AS INT)"
 
 
 @query("r01_cusum_event_time", f"""WITH {SEG_SQL},
@@ -75,7 +75,7 @@ def cusum_event_time(spark, sf):
     return R.ordered_cusum(spark, R.land(x, "landing", R.staging(spark, "series-unordered")), "c_mktsegment", late="56 days")
 
 
-_EVENT_LANDING = "CAST(greatest(0, least(5, floor((d + (event_id * 37) % 9 - 4) * 6 / (d1 + 1)))) AS INT)"
+_EVENT_LANDING = "CAST(greatest(0, least(5, floor((d + (event_id * 37) % 9 - 4 + CASE WHEN event_id % 17 = 0 THEN 15 ELSE 0 END) * 6 / (d1 + 1)))) AS INT)"
 
 
 @query("r02_ratio_closed_days", f"""
@@ -89,7 +89,7 @@ SELECT CAST(ts AS DATE) AS day, round(sum(CASE WHEN NOT is_late AND event_type =
          / nullif(sum(CASE WHEN NOT is_late THEN value END), 0), 6) AS ratio, round(sum(CASE WHEN NOT is_late THEN value END), 4) AS volume,
        count_if(NOT is_late) AS n, count_if(is_late) AS n_late FROM o GROUP BY 1""")
 def ratio_closed_days(spark, sf):
-    """Purchases' share of a day's value; events land in six files, up to four days early or late."""
+    """Purchases' share of a day's value; events land in six files, up to four days early or late, every seventeenth fifteen days later still."""
     e = Tables(spark, sf).events
     ends = e.agg(F.to_date(F.min("ts")).alias("a"), F.to_date(F.max("ts")).alias("b")).first()
     d = e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value", F.date_diff(F.to_date("ts"), F.lit(ends["a"])).alias("d"))
