@@ -691,19 +691,11 @@ def bootstrap_mean(df: DataFrame, value: str, replicates: int = 200, seed: int =
 
 
 def regress(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
-    """Multivariable OLS (normal-equation solver, so the summary has
-    coefficient standard errors, t and p) as a coefficient table."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-    va = VectorAssembler(inputCols=xs, outputCol="__f", handleInvalid="skip")
-    m = LinearRegression(featuresCol="__f", labelCol=y, solver="normal").fit(va.transform(df.select(y, *xs)))
-    s = m.summary
-    names = xs + ["(intercept)"]
-    coefs = list(m.coefficients) + [m.intercept]
-    rows = [(n, float(c), float(se), float(t), float(p)) for n, c, se, t, p in
-            zip(names, coefs, s.coefficientStandardErrors, s.tValues, s.pValues)]
-    return df.sparkSession.createDataFrame(rows, "term string, coefficient double, std_error double, t double, "
-                                                 "p_value double").withColumn("r2", F.lit(float(s.r2)))
+    """Multivariable OLS as a coefficient table, from one aggregate of cross products (``models.glm``, which also
+    gives intervals and other families)."""
+    from prudent.operators import models
+    t = models.coefficients(df.sparkSession, models.glm(df, y, xs))
+    return t.select("term", "coefficient", "std_error", F.col("statistic").alias("t"), "p_value", F.col("explained").alias("r2"))
 
 
 def ipw_effect(df: DataFrame, y: str, treated: str, covariates: list[str]) -> DataFrame:

@@ -90,7 +90,7 @@ def _det3(m: list[list[str]]) -> str:
     return f"(({a}) * (({e}) * ({i}) - ({f}) * ({h})) - ({b}) * (({d}) * ({i}) - ({f}) * ({g})) + ({c}) * (({d}) * ({h}) - ({e}) * ({g})))"
 
 
-def _ols_sql() -> str:
+def ols_sql() -> str:
     """Three predictors by cofactors of their centred cross products."""
     x = ["l_quantity", "l_discount", "l_tax"]
     s = [[f"s{min(i, j)}{max(i, j)}" for j in range(3)] for i in range(3)]
@@ -117,7 +117,7 @@ SELECT term, round(b, 6) AS coefficient, round(se, 6) AS std_error, round(b / se
        true AS converged FROM u"""
 
 
-@query("x24_ols_intervals", _ols_sql())
+@query("x24_ols_intervals", ols_sql())
 def ols(spark, sf):
     """Extended price on quantity, discount and tax, with t intervals."""
     li = Tables(spark, sf).lineitem

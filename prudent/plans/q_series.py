@@ -264,14 +264,14 @@ def cohort_matrix(spark, sf):
  r AS (SELECT *, dense_rank() OVER (ORDER BY cohort) AS cohort_idx FROM cells)
 SELECT age, count(*) AS n_cohorts, round(regr_slope(median_value, cohort_idx), 6) AS value_slope_by_cohort,
        round(regr_slope(surviving, cohort_idx), 6) AS survival_slope_by_cohort,
-       regr_slope(surviving, cohort_idx) < 0 AS later_worse
-FROM r WHERE age BETWEEN 1 AND 8 GROUP BY age""")
+       CASE WHEN count(*) > 1 THEN regr_slope(surviving, cohort_idx) < 0 END AS later_worse
+FROM r GROUP BY age""")
 def cohort_patterns(spark, sf):
     """Later-worse-at-same-age: slope of survival and value across cohorts at
     each age (cohorts indexed in time order)."""
     cells = cohort_cells(Tables(spark, sf))
     idx = cells.select("cohort").distinct().withColumn("cohort_idx", F.dense_rank().over(Window.orderBy("cohort")))
-    r = cells.join(idx, "cohort").where("age BETWEEN 1 AND 8")
+    r = cells.join(idx, "cohort")
     return r.groupBy("age").agg(F.count("*").alias("n_cohorts"),
                                 F.round(F.regr_slope("median_value", "cohort_idx"), 6).alias("value_slope_by_cohort"),
                                 F.round(F.regr_slope("surviving", "cohort_idx"), 6).alias("survival_slope_by_cohort"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from prudent.functions.dist import DUCK
 from prudent.operators import stats as X
 from prudent.operators.stats import finalize_sql as fin
+from prudent.plans.q_models import ols_sql
 from prudent.plans.q_window import NATION_WEEKLY_SQL, SEGMENT_WEEKLY_SQL, nation_weekly, segment_weekly
 from prudent.plans.registry import Tables, query
 
@@ -314,10 +315,9 @@ SELECT count_if(o_orderstatus = 'P' AND o_orderpriority = '1-URGENT') AS a,
        count_if(o_orderstatus = 'P' AND o_orderpriority <> '1-URGENT') AS b,
        count_if(o_orderstatus <> 'P' AND o_orderpriority = '1-URGENT') AS c,
        count_if(o_orderstatus <> 'P' AND o_orderpriority <> '1-URGENT') AS d
-FROM orders WHERE o_totalprice > 300000""", X.fisher_exprs(DUCK)))
+FROM orders""", X.fisher_exprs(DUCK)))
 def fisher(spark, sf):
-    o = Tables(spark, sf).orders.where("o_totalprice > 300000")
-    return X.fisher(o, "o_orderstatus = 'P'", "o_orderpriority = '1-URGENT'")
+    return X.fisher(Tables(spark, sf).orders, "o_orderstatus = 'P'", "o_orderpriority = '1-URGENT'")
 
 
 def _lines_region(t: Tables):
@@ -429,7 +429,7 @@ def heterogeneity(spark, sf):
     return X.heterogeneity(s, "slope", "v")
 
 
-@query("x24_regress")
+@query("x24_regress", "SELECT term, coefficient, std_error, statistic AS t, p_value, explained AS r2 FROM (" + ols_sql() + ")")
 def regress(spark, sf):
     return X.regress(Tables(spark, sf).lineitem, "l_extendedprice", ["l_quantity", "l_discount", "l_tax"])
 
