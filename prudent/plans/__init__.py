@@ -13,6 +13,7 @@ def load_all():
         q_stats,
         q_models,
         q_diagnose,
+        q_benchmark,
         q_series,
         q_breaks,
         q_findings,
