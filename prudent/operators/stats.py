@@ -371,7 +371,7 @@ def dunn(df: DataFrame, value: str, group: str, method: str = "holm", by=None) -
 
 
 def friedman(df: DataFrame, subject: str, cond: str, value: str) -> DataFrame:
-    """Friedman chi-square over complete blocks (ranks within subject,
+    """Friedman chi-square over complete blocks, corrected for ties (ranks within subject,
     a window bounded by the number of conditions)."""
     w = Window.partitionBy(subject, value)
     ws = Window.partitionBy(subject).orderBy(value)
@@ -379,8 +379,10 @@ def friedman(df: DataFrame, subject: str, cond: str, value: str) -> DataFrame:
     d = d.withColumn("__rk", F.col("__lo") + (F.col("__t") - 1) / 2.0)
     rj = d.groupBy(cond).agg(F.sum("__rk").alias("rj"))
     n = df.select(F.count_distinct(subject)).scalar()
-    s = rj.agg(F.count("*").alias("k"), F.sum(F.col("rj") * F.col("rj")).alias("srj")).withColumn("n", n)
-    chi = "(12.0 / (n * k * (k + 1)) * srj - 3 * n * (k + 1))"
+    # over rows, t^2 - 1 sums to t^3 - t over the groups of equal values
+    ties = d.agg(F.sum(F.col("__t") * F.col("__t") - 1)).scalar()
+    s = rj.agg(F.count("*").alias("k"), F.sum(F.col("rj") * F.col("rj")).alias("srj")).withColumn("n", n).withColumn("ties", ties)
+    chi = "((12.0 / (n * k * (k + 1)) * srj - 3 * n * (k + 1)) / nullif(1 - ties / (n * k * (k * k - 1.0)), 0))"
     return finalize(s, {"n": "n", "k": "k", "chi2": chi, "df": "(k - 1)", "p_value": D.chi2_sf(chi, "(k - 1)"),
                         "kendall_w": f"({chi} / {nz('(n * (k - 1))')})"})
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from prudent.functions import scalar as S
 from prudent.operators import profile as Q
 from prudent.operators import relational as R
+from prudent.plans.q_findings import GAPS_SQL
 from prudent.plans.registry import Tables, query
 
 
@@ -283,7 +284,7 @@ def write_table(spark, sf):
     return IO.load_table(spark, out, "csv").agg(F.count("*").alias("n_rows"))
 
 
-@query("t02_rank_gaps")
+@query("t02_rank_gaps", f"SELECT rank, severity, frequency, categories, text FROM ({GAPS_SQL})")
 def rank_gaps(spark, sf):
     from prudent.plans.q_findings import aggregate_gaps
     return aggregate_gaps(spark, sf).select("rank", "severity", "frequency", "categories", "text")

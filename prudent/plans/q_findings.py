@@ -138,6 +138,21 @@ FINDINGS_SQL = f"""o AS (SELECT o_orderpriority AS run_id, c.c_mktsegment AS ent
  findings AS (SELECT *, CASE (CASE WHEN guardrail = 'missing_data' AND s1 > 3 THEN 3 ELSE s1 END)
                            WHEN 4 THEN 'A' WHEN 3 THEN 'B' WHEN 2 THEN 'C' WHEN 1 THEN 'D' ELSE 'F' END AS grade FROM f5)"""
 
+# caveats of every finding, in the order in which they are listed
+CAVEATS_SQL = """cav AS (SELECT run_id, finding_id, grade, unnest(list_filter([
+    CASE WHEN rigor = 'partial' THEN {'t': 'trivial effect behind a significant p', 's': 'medium', 'c': 'rigor'} END,
+    CASE WHEN guardrail = 'trade_off_present' THEN {'t': 'completion share moved against order value', 's': 'high', 'c': 'guardrail'} END,
+    CASE WHEN plausibility = 'implausible' THEN {'t': 'change outside the historical range', 's': 'high', 'c': 'plausibility'} END,
+    CASE WHEN lenses < 3 THEN {'t': 'fewer than three lenses agree', 's': 'medium', 'c': 'triangulation'} END], lambda x: x IS NOT NULL)) AS c FROM findings)"""
+
+GAPS_SQL = f"""WITH {FINDINGS_SQL}, {CAVEATS_SQL},
+ a AS (SELECT left(trim(regexp_replace(regexp_replace(lower(c.t), '[^a-z0-9 ]+', ' ', 'g'), '\\s+', ' ', 'g')), 120) AS k, count(*) AS frequency,
+              CASE WHEN bool_or(c.s = 'high') THEN 'high' ELSE 'medium' END AS severity, max(c.t) AS text, list_sort(list(DISTINCT c.c)) AS categories,
+              ['findings-validator'] AS sources, list_sort(list(DISTINCT run_id)) AS runs FROM cav GROUP BY 1)
+SELECT frequency, severity, text, categories, sources, runs,
+       row_number() OVER (ORDER BY severity = 'high' DESC, frequency DESC, categories[1], k) AS rank FROM a"""
+
+
 
 @query("v01_recompute", f"WITH {FINDINGS_SQL} SELECT finding_id, stated, round(diff, 6) AS recomputed, recompute FROM findings")
 def recompute(spark, sf):
@@ -233,7 +248,7 @@ def carry(spark, sf):
     return V.carry_caveats(findings(Tables(spark, sf)))
 
 
-@query("v15_aggregate_gaps")
+@query("v15_aggregate_gaps", GAPS_SQL)
 def aggregate_gaps(spark, sf):
     """Gaps = every caveat raised by validation (category = layer, source =
     validator), grouped by fuzzy text key and ranked (T02)."""
@@ -415,7 +430,8 @@ def consistency(spark, sf):
                                                            cards.alias("n_cards"))
 
 
-@query("v07_lost_caveats")
+@query("v07_lost_caveats", f"""WITH {FINDINGS_SQL}, {CAVEATS_SQL}
+SELECT finding_id, c.t AS text, c.s AS severity FROM cav WHERE c.s = 'high' AND grade IN ('D', 'F')""")
 def lost(spark, sf):
     """High-severity caveats of findings that did not reach the cards."""
     f = findings(Tables(spark, sf))
@@ -424,7 +440,9 @@ def lost(spark, sf):
     return V.lost_caveats(up, down)
 
 
-@query("v12_require_runs")
+@query("v12_require_runs", f"""WITH {FINDINGS_SQL}
+SELECT count(DISTINCT run_id) FILTER (grade IN ('A', 'B', 'C')) AS usable_runs, count(DISTINCT run_id) FILTER (grade IN ('A', 'B', 'C')) >= 2 AS can_synthesise
+FROM findings""")
 def require_runs(spark, sf):
     """Synthesis needs at least two usable runs (runs with any A-C finding)."""
     f = findings(Tables(spark, sf))
@@ -432,7 +450,8 @@ def require_runs(spark, sf):
     return spark.range(1).select(n.alias("usable_runs"), (n >= 2).alias("can_synthesise"))
 
 
-@query("v14_extract_gaps")
+@query("v14_extract_gaps", f"""WITH {FINDINGS_SQL}, {CAVEATS_SQL}
+SELECT run_id, finding_id, c.t AS text, c.s AS severity, 'findings-validator' AS source, 'caveats' AS field FROM cav""")
 def extract_gaps(spark, sf):
     """One row per gap: caveats of every finding, with category, severity,
     source and run; short strings (<= 5 chars) dropped."""

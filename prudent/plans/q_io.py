@@ -58,13 +58,19 @@ def _artifact_root(spark, sf):
     return IO.write_stage_artifacts(a.unionByName(replay), staging(spark, "artifacts"))
 
 
-@query("s05_read_artifacts")
+_ART_SQL = """a AS (SELECT replace(o.o_orderpriority, ' ', '_') AS run_id, c.c_mktsegment AS seg, dense_rank() OVER (ORDER BY c.c_mktsegment) AS stage_index
+       FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY o.o_orderpriority, c.c_mktsegment),
+ f AS (SELECT run_id, CAST(stage_index AS INTEGER) AS stage_index, lower(seg) AS agent, lpad(CAST(stage_index AS VARCHAR), 2, '0') || '-' || lower(seg) AS name FROM a WHERE stage_index <= 4)"""
+
+
+@query("s05_read_artifacts", f"""WITH {_ART_SQL}
+SELECT run_id, stage_index, agent, name || '.json' AS file_name FROM f UNION ALL SELECT run_id, stage_index, agent, name || '-replay.json' FROM f WHERE stage_index = 2""")
 def read_artifacts(spark, sf):
     a = IO.read_artifacts(spark, _artifact_root(spark, sf), max_stage=4)
     return a.select("run_id", "stage_index", "agent", "file_name")
 
 
-@query("s06_pick_primary")
+@query("s06_pick_primary", f"WITH {_ART_SQL} SELECT run_id, stage_index, name || '.json' AS file_name FROM f")
 def pick_primary(spark, sf):
     a = IO.read_artifacts(spark, _artifact_root(spark, sf), max_stage=4)
     return IO.pick_primary(a).select("run_id", "stage_index", "file_name")

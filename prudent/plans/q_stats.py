@@ -238,20 +238,27 @@ _NY_SQL = """ny AS (SELECT s.s_nationkey, year(l_shipdate) AS yr, sum(l_quantity
 
 @query("x15_friedman", f"""
 WITH {_NY_SQL},
- r AS (SELECT yr, rank() OVER (PARTITION BY s_nationkey ORDER BY qty)
-                  + (count(*) OVER (PARTITION BY s_nationkey, qty) - 1) / 2.0 AS rk FROM ny),
+ r AS (SELECT yr, count(*) OVER (PARTITION BY s_nationkey, qty) AS t,
+              rank() OVER (PARTITION BY s_nationkey ORDER BY qty) + (count(*) OVER (PARTITION BY s_nationkey, qty) - 1) / 2.0 AS rk FROM ny),
  rj AS (SELECT yr, sum(rk) AS rj FROM r GROUP BY yr),
- s AS (SELECT count(*) AS k, sum(rj * rj) AS srj, (SELECT count(DISTINCT s_nationkey) FROM ny) AS n FROM rj)
-SELECT round(CAST(n AS DOUBLE), 6) AS n, round(CAST(k AS DOUBLE), 6) AS k,
-       round(12.0 / (n * k * (k + 1)) * srj - 3 * n * (k + 1), 6) AS chi2, round(CAST(k - 1 AS DOUBLE), 6) AS df,
-       round({__import__('prudent.functions.dist', fromlist=['x']).chi2_sf('(12.0 / (n * k * (k + 1)) * srj - 3 * n * (k + 1))', '(k - 1)', DUCK)}, 6) AS p_value,
-       round((12.0 / (n * k * (k + 1)) * srj - 3 * n * (k + 1)) / nullif(n * (k - 1), 0), 6) AS kendall_w
-FROM s""")
+ s AS (SELECT CAST(count(*) AS DOUBLE) AS k, sum(rj * rj) AS srj, (SELECT CAST(count(DISTINCT s_nationkey) AS DOUBLE) FROM ny) AS n, (SELECT sum(t * t - 1) FROM r) AS ties FROM rj),
+ c AS (SELECT n, k, (12.0 / (n * k * (k + 1)) * srj - 3 * n * (k + 1)) / (1 - ties / (n * k * (k * k - 1))) AS chi FROM s)
+SELECT round(n, 6) AS n, round(k, 6) AS k, round(chi, 6) AS chi2, round(k - 1, 6) AS df,
+       round({__import__('prudent.functions.dist', fromlist=['x']).chi2_sf('chi', '(k - 1)', DUCK)}, 6) AS p_value,
+       round(chi / (n * (k - 1)), 6) AS kendall_w FROM c""")
 def friedman(spark, sf):
     return X.friedman(_nation_year(Tables(spark, sf)), "s_nationkey", "yr", "qty")
 
 
-@query("x15_rm_anova")
+@query("x15_rm_anova", f"""WITH {_NY_SQL},
+ gm AS (SELECT avg(qty) AS gm FROM ny),
+ s AS (SELECT sum(k * pow(m - (SELECT gm FROM gm), 2)) AS sss FROM (SELECT count(*) AS k, avg(qty) AS m FROM ny GROUP BY s_nationkey)),
+ c AS (SELECT sum(k * pow(m - (SELECT gm FROM gm), 2)) AS ssc FROM (SELECT count(*) AS k, avg(qty) AS m FROM ny GROUP BY yr)),
+ t AS (SELECT sum(pow(qty - (SELECT gm FROM gm), 2)) AS sst, CAST(count(DISTINCT s_nationkey) AS DOUBLE) AS n, CAST(count(DISTINCT yr) AS DOUBLE) AS k FROM ny),
+ f AS (SELECT *, (ssc / (k - 1)) / ((sst - sss - ssc) / ((n - 1) * (k - 1))) AS f FROM s, c, t)
+SELECT round(f, 6) AS f, round(k - 1, 6) AS df1, round((n - 1) * (k - 1), 6) AS df2,
+       round({__import__('prudent.functions.dist', fromlist=['x']).f_sf('f', '(k - 1)', '((n - 1) * (k - 1))', DUCK)}, 6) AS p_value,
+       round(ssc / (sst - sss), 6) AS partial_eta_sq FROM f""")
 def rm_anova(spark, sf):
     return X.rm_anova(_nation_year(Tables(spark, sf)), "s_nationkey", "yr", "qty")
 
