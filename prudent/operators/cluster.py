@@ -181,6 +181,25 @@ def conditional_outliers(df: DataFrame, value: str, given: list[str], z: float =
     return d.drop("__m", "__s", *[f"__g{i}" for i in range(len(given))]).withColumn("is_outlier", F.abs("score") > z)
 
 
+def model_outliers(df: DataFrame, value: str, control: str, given: list[str], z: float = 3.0) -> DataFrame:
+    """Studentised residual of ``value`` from its group's regression on ``control``, flagged beyond ``z``.
+
+    The sums of each group's regression are one aggregate, joined back; a residual is divided by its own standard error, which
+    grows less with the row's leverage.  Rows with a null and groups of fewer than three rows have no score.
+    """
+    st = df.groupBy(*given).agg(F.regr_count(value, control).alias("__n"), F.regr_sxx(value, control).alias("__sxx"), F.regr_sxy(value, control).alias("__sxy"),
+                                F.regr_syy(value, control).alias("__syy"), F.regr_avgx(value, control).alias("__mx"), F.regr_avgy(value, control).alias("__my"))
+    st = st.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(given)], *[c for c in st.columns if c not in given])
+    d = df.join(st, [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(given)], "left")
+    slope = safe_div("__sxy", "__sxx")
+    off = F.col(control) - F.col("__mx")
+    resid = F.col(value) - F.col("__my") - slope * off
+    variance = safe_div(F.greatest(F.col("__syy") - slope * F.col("__sxy"), F.lit(0.0)), F.col("__n") - 2)
+    lever = 1 / F.col("__n") + safe_div(off * off, F.col("__sxx"))
+    d = d.withColumn("score", F.when(F.col("__n") > 2, safe_div(resid, F.sqrt(variance * F.greatest(1 - lever, F.lit(0.0))))))
+    return d.drop(*st.columns).withColumn("is_outlier", F.abs("score") > z)
+
+
 def pca(df: DataFrame, k: int, features: str = "features") -> DataFrame:
     """Principal components: explained variance per component and the
     loadings (feature x component)."""

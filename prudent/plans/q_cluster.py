@@ -125,6 +125,21 @@ def conditional(spark, sf):
     return d.where("is_outlier").select("o_orderkey", "c_mktsegment", F.round("score", 6).alias("score"))
 
 
+@query("k12_model_residuals", """
+WITH j AS (SELECT o.o_orderkey, c.c_mktsegment AS g, o.o_totalprice AS y, CAST(n AS DOUBLE) AS x FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+           JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) l ON l.l_orderkey = o.o_orderkey),
+ m AS (SELECT g, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, count(*) AS n, avg(x) AS mx, var_pop(x) * count(*) AS sxx FROM j GROUP BY 1),
+ e AS (SELECT j.*, n, y - a - b * x AS e, 1.0 / n + (x - mx) * (x - mx) / sxx AS h FROM j JOIN m USING (g)),
+ s AS (SELECT g, sum(e * e) / (count(*) - 2) AS v FROM e GROUP BY 1)
+SELECT o_orderkey, g AS c_mktsegment, round(e / sqrt(v * (1 - h)), 6) AS score FROM e JOIN s USING (g) WHERE abs(e / sqrt(v * (1 - h))) > 1.5""")
+def model_residuals(spark, sf):
+    """Orders whose price their number of lines doesn't explain, within a segment."""
+    t = Tables(spark, sf)
+    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").cast("double").alias("n_lines"))
+    d = K.model_outliers(seg_orders(t).join(lines, "o_orderkey"), "o_totalprice", "n_lines", ["c_mktsegment"], 1.5)
+    return d.where("is_outlier").select("o_orderkey", "c_mktsegment", F.round("score", 6).alias("score"))
+
+
 @query("k13_pca")
 def pca(spark, sf):
     d = K.prepare(customer_features(Tables(spark, sf)), FEATURES)

@@ -243,15 +243,20 @@ WITH lp AS (SELECT l.*, p.p_brand FROM lineitem l JOIN part p ON l.l_partkey = p
 SELECT p_brand, week, qty, round(baseline, 6) AS baseline, round(qty - baseline, 6) AS incremental_units,
        round(qty / nullif(baseline, 0) - 1, 6) AS lift FROM b WHERE promo""")
 def promo_lift(spark, sf):
-    bw = _brand_weekly(Tables(spark, sf))
+    b = _with_baseline(Tables(spark, sf))
+    return b.where("promo").select("p_brand", "week", "qty", F.round("baseline", 6).alias("baseline"),
+                                   F.round(F.col("qty") - F.col("baseline"), 6).alias("incremental_units"),
+                                   F.round(S.safe_div("qty", "baseline") - 1, 6).alias("lift"))
+
+
+def _with_baseline(t: Tables):
+    """Weekly brand volume beside the mean of the thirteen weeks without promotion before it."""
+    bw = _brand_weekly(t)
     np_ = bw.where(~F.col("promo")).withColumn(
         "m13", F.avg("qty").over(Window.partitionBy("p_brand").orderBy("week").rowsBetween(-12, 0)))
     a = bw.join(np_.select("p_brand", "week", "m13"), ["p_brand", "week"], "left")
     w = Window.partitionBy("p_brand").orderBy("week").rowsBetween(Window.unboundedPreceding, -1)
-    b = a.withColumn("baseline", F.last("m13", ignorenulls=True).over(w))
-    return b.where("promo").select("p_brand", "week", "qty", F.round("baseline", 6).alias("baseline"),
-                                   F.round(F.col("qty") - F.col("baseline"), 6).alias("incremental_units"),
-                                   F.round(S.safe_div("qty", "baseline") - 1, 6).alias("lift"))
+    return a.withColumn("baseline", F.last("m13", ignorenulls=True).over(w))
 
 
 @query("d13_cannibalisation", """
@@ -274,6 +279,31 @@ def cannibalisation(spark, sf):
                  .alias("cannibalisation_index"))
 
 
+@query("d13_promo_return", """
+WITH lp AS (SELECT l.*, p.p_brand, p.p_retailprice FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey),
+ bw AS (SELECT p_brand, CAST(date_trunc('week', l_shipdate) AS DATE) AS week, sum(l_quantity) AS qty, max(l_discount) >= 0.09 AS promo FROM lp GROUP BY 1, 2),
+ np AS (SELECT p_brand, week, avg(qty) OVER (PARTITION BY p_brand ORDER BY week ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS m13 FROM bw WHERE NOT promo),
+ b AS (SELECT bw.*, last_value(m13 IGNORE NULLS) OVER (PARTITION BY p_brand ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS baseline
+       FROM bw LEFT JOIN np USING (p_brand, week)),
+ i AS (SELECT p_brand, sum(qty - baseline) AS units FROM b WHERE promo GROUP BY 1),
+ m AS (SELECT p_brand, (sum(l_extendedprice * (1 - l_discount)) - sum(l_quantity * p_retailprice * 0.5)) / nullif(sum(l_quantity), 0) AS margin,
+              sum(CASE WHEN l_discount >= 0.09 THEN l_extendedprice * l_discount ELSE 0 END) AS spend FROM lp GROUP BY 1)
+SELECT p_brand, round(units, 4) AS incremental_units, round(units * margin, 4) AS incremental_profit, round(spend, 4) AS trade_spend,
+       round(units * margin / nullif(spend, 0), 6) AS promo_return FROM m LEFT JOIN i USING (p_brand)""")
+def promo_return(spark, sf):
+    """Profit of the units above the baseline over the discounts given for them, per brand."""
+    t = Tables(spark, sf)
+    units = _with_baseline(t).where("promo").groupBy("p_brand").agg(F.sum(F.col("qty") - F.col("baseline")).alias("units"))
+    given = F.col("l_extendedprice") * F.col("l_discount")
+    lp = t.lineitem.join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_retailprice"), "l_partkey")
+    m = lp.groupBy("p_brand").agg(
+        S.safe_div(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))) - F.sum(F.col("l_quantity") * F.col("p_retailprice") * 0.5), F.sum("l_quantity")).alias("margin"),
+        F.sum(F.when(F.col("l_discount") >= 0.09, given).otherwise(0.0)).alias("spend"))
+    profit = F.col("units") * F.col("margin")
+    return m.join(units, "p_brand", "left").select("p_brand", F.round("units", 4).alias("incremental_units"), F.round(profit, 4).alias("incremental_profit"),
+                                                   F.round("spend", 4).alias("trade_spend"), F.round(S.safe_div(profit, "spend"), 6).alias("promo_return"))
+
+
 @query("d14_unit_margin", """
 SELECT p.p_brand, round((sum(l_extendedprice * (1 - l_discount)) - sum(l_quantity * p.p_retailprice * 0.5)) / sum(l_quantity), 6)
        AS margin_per_unit,
