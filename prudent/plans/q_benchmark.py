@@ -31,11 +31,11 @@ def _panel(spark, sf):
  q AS (SELECT *, pow(a + b, 2) / (a * a / (t - 1) + b * b / (n - 1)) AS df FROM s),
  c AS (SELECT *, {t_ppf(0.975, 'df', DUCK)} AS crit, {t_ppf(0.975, '(n - 1)', DUCK)} AS bcrit FROM q),
  r AS (SELECT g AS n_regionkey, id AS l_suppkey, coalesce(sign(x3 - b3) = sg, false) AND coalesce(sign(x12 - b12) = sg, false) AS windows_agree,
-              sign(x - (bench * n - hi) / (n - 1)) = sg AND sign(x - (bench * n - lo) / (n - 1)) = sg AS drop_one_peer,
+              coalesce(sign(x - (bench * n - hi) / (n - 1)) = sg AND sign(x - (bench * n - lo) / (n - 1)) = sg, false) AS drop_one_peer,
               round(x, 6) AS level, round(bench, 6) AS benchmark, round(bench - bcrit * sqrt(b), 6) AS bench_low, round(bench + bcrit * sqrt(b), 6) AS bench_high,
               round(n, 6) AS n_peers, round(x - bench, 6) AS gap, round((x - bench) * 100 / bench, 6) AS gap_pct, round(x - bench - crit * sqrt(a + b), 6) AS ci_low,
-              round(x - bench + crit * sqrt(a + b), 6) AS ci_high, round(noise, 6) AS noise, abs(x - bench) > noise AS outside_noise, n >= 10 AS enough_peers FROM c)
-SELECT *, CASE WHEN (ci_low > 0 OR ci_high < 0) AND outside_noise AND windows_agree AND drop_one_peer AND enough_peers
+              round(x - bench + crit * sqrt(a + b), 6) AS ci_high, round(noise, 6) AS noise, coalesce(abs(x - bench) > noise, false) AS outside_noise, n >= 10 AS enough_peers FROM c)
+SELECT *, CASE WHEN coalesce(ci_low > 0 OR ci_high < 0, false) AND outside_noise AND windows_agree AND drop_one_peer AND enough_peers
                THEN CASE WHEN gap > 0 THEN 'strength' ELSE 'gap' END ELSE 'not established' END AS verdict FROM r""")
 def gap_report(spark, sf):
     """Monthly volume of every supplier against the others of its region."""
@@ -54,8 +54,9 @@ def own_trend(spark, sf):
 @query("d18_regression_expected", f"""WITH {_PANEL},
  e AS (SELECT n_regionkey AS g, l_suppkey AS id, sum(qty) AS v, CAST(sum(n_lines) AS DOUBLE) AS c FROM panel GROUP BY 1, 2),
  o AS (SELECT a.g, a.id, any_value(a.v) AS v, any_value(a.c) AS c, regr_slope(b.v, b.c) AS b, regr_intercept(b.v, b.c) AS a, count(b.id) AS n
-       FROM e a JOIN e b ON a.g = b.g AND a.id <> b.id GROUP BY 1, 2)
-SELECT g AS n_regionkey, id AS l_suppkey, round(v, 6) AS level, round(a + b * c, 6) AS expected, round(v - (a + b * c), 6) AS gap FROM o WHERE n > 2""")
+       FROM e a LEFT JOIN e b ON a.g = b.g AND a.id <> b.id GROUP BY 1, 2)
+SELECT g AS n_regionkey, id AS l_suppkey, round(v, 6) AS level, CASE WHEN n > 2 THEN round(a + b * c, 6) END AS expected,
+       CASE WHEN n > 2 THEN round(v - (a + b * c), 6) END AS gap FROM o""")
 def regression_expected(spark, sf):
     """Volume that a supplier's number of lines lets expect, by the others of its region."""
     e = _panel(spark, sf).groupBy("n_regionkey", "l_suppkey").agg(F.sum("qty").alias("qty"), F.sum("n_lines").cast("double").alias("n_lines"))
