@@ -314,7 +314,12 @@ def kendall(spark, sf):
     o = Tables(spark, sf).orders.select(F.left("o_orderpriority", F.lit(1)).cast("int").alias("x"),
                                         F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 2)
                                         .otherwise(3).alias("y"))
-    c = o.groupBy("x", "y").agg(F.count("*").alias("n"))
+    return kendall_tau(o)
+
+
+def kendall_tau(o):
+    """tau-b and z of the levels ``x`` and ``y``; counts are doubles, as z takes the cube of their sum."""
+    c = o.groupBy("x", "y").agg(F.count("*").cast("double").alias("n"))
     a = c.select(F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("n").alias("n1"), F.lit(1).alias("k"))
     b = c.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("n").alias("n2"), F.lit(1).alias("k"))
     p = a.join(b, "k").where(F.col("x1") < F.col("x2")).agg(
