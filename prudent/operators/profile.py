@@ -107,7 +107,7 @@ def distribution(df: DataFrame, metrics: list[str], by: list[str] = (), approx:
     and excess kurtosis per metric; MAD from the weighted deviations of the distinct values.
     Exact quantiles use value-range buckets (no group is held in one buffer);
     ``approx=True`` uses sketches (``percentile_approx``)."""
-    from prudent.operators.relational import exact_quantiles, weighted_values
+    from prudent.operators.relational import exact_quantiles, weighted_values, with_group
     by = list(by)
     long = _long(df, metrics, by).where(F.col("x").isNotNull())
     qs = [0.05, 0.25, 0.5, 0.75, 0.95]
@@ -128,7 +128,7 @@ def distribution(df: DataFrame, metrics: list[str], by: list[str] = (), approx:
         mad = dev.groupBy(*keys).agg(F.percentile_approx("d", 0.5, 10000).alias("mad"))
     else:
         # deviations of the distinct values keep their weights: no second pass over the rows
-        dev = values.join(q.select(*keys, "median"), keys).select(*keys, F.abs(F.col("__v") - F.col("median")).alias("d"), "__w")
+        dev = with_group(values, q.select(*keys, "median"), keys).select(*keys, F.abs(F.col("__v") - F.col("median")).alias("d"), "__w")
         mad = exact_quantiles(dev, keys, "d", [0.5], names=["mad"], weighted=weighted_values(dev, keys, "d", "__w"))
     return st.join(mad, keys).withColumn("iqr", F.col("p75") - F.col("p25"))
 
@@ -158,7 +158,7 @@ def outliers(df: DataFrame, id_col: str, metric: str, method: str = "auto", dist
     row joined back (a scalar per metric); the id list is capped at ``top``
     per metric (the reference returns small id lists; counts are complete)."""
     d = dist if dist is not None else shape(distribution(df, [metric]))
-    row = d.where(F.col("metric") == metric).select("mean", "sd", "median", "mad", "shape")
+    row = cut_lineage(d.where(F.col("metric") == metric).select("mean", "sd", "median", "mad", "shape"))  # read five times below
     x = F.col(metric).cast("double")
     mean, sd, med, mad, shp = [row.select(c).scalar() for c in ("mean", "sd", "median", "mad", "shape")]
     use_z = (shp == "normal") if method == "auto" else F.lit(method == "z")
@@ -181,10 +181,11 @@ def tail_flag(df: DataFrame, metric: str, q: float = 0.995) -> Column:
 
 def trimmed_mean(df: DataFrame, metric: str, by: list[str], trim: float = 0.1) -> DataFrame:
     """Q11: mean of values between the trim and 1 - trim quantiles."""
-    from prudent.operators.relational import exact_quantiles
+    from prudent.operators.relational import exact_quantiles, with_group
     q = exact_quantiles(df.withColumn(metric, F.col(metric).cast("double")), by, metric, [trim, 1 - trim],
                         names=["__lo", "__hi"])
-    j = df.join(q, by) if by else df.withColumn("__lo", q.select("__lo").scalar()) \
+    q = cut_lineage(q)
+    j = with_group(df, q, by) if by else df.withColumn("__lo", q.select("__lo").scalar()) \
         .withColumn("__hi", q.select("__hi").scalar())
     inside = (F.col(metric) >= F.col("__lo")) & (F.col(metric) <= F.col("__hi"))
     return j.groupBy(*by).agg(F.avg(F.when(inside, F.col(metric))).alias("trimmed_mean"),
