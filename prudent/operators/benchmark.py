@@ -10,14 +10,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prudent.functions import dist as D
+from prudent.operators.relational import MAX_GROUP_VALUES
 from prudent.operators.stats import finalize, nz
 from prudent.session import cut_lineage
 
 
+#: rows in a task that evaluates a quantile of the t distribution, some milliseconds a row
+SPREAD = 500
+
+
 def _same(left: DataFrame, right: DataFrame, group: list[str]) -> DataFrame:
+    """Rows with the row of their group, nulls alike; ``right`` is materialised, and broadcast unless it is large, so that a group isn't one task."""
+    few = right.count() * len(right.columns) <= MAX_GROUP_VALUES
     r = right.select(*[F.col(c).alias(f"__g{i}") if c in group else F.col(c) for i, c in enumerate(right.columns)])
     names = {c: f"__g{i}" for i, c in enumerate(right.columns)}
-    return left.join(r, [F.col(c).eqNullSafe(F.col(names[c])) for c in group], "left").drop(*[names[c] for c in group])
+    return left.join(F.broadcast(r) if few else r, [F.col(c).eqNullSafe(F.col(names[c])) for c in group], "left").drop(*[names[c] for c in group])
 
 
 def gap_report(panel: DataFrame, group: list[str], entity: str, period: str, value: str, windows: tuple[int, ...] = (3, 12), min_peers: int = 10) -> DataFrame:
@@ -37,11 +44,14 @@ def gap_report(panel: DataFrame, group: list[str], entity: str, period: str, val
     levels = ["x", *[f"x{w}" for w in windows]]
     sums = [a for c in levels for a in (F.count(c).alias(f"n_{c}"), F.avg(c).alias(f"m_{c}"))]
     g = e.groupBy(*group).agg(*sums, (F.var_pop("x") * F.count("x")).alias("m2"), F.max(F.struct("x", entity)).alias("top"), F.min(F.struct("x", entity)).alias("bottom"))
+    # an entity's peers are its group less itself: their quantile is the group's, not a row's
+    g = cut_lineage(g.withColumn("__bcrit", F.expr(f"CASE WHEN n_x - 1 > 1 THEN {D.t_ppf(0.975, '(n_x - 1)')} END")))
     # the second from either end, for the entity that is the first itself
     inner = _same(e, g.select(*group, "top", "bottom"), group)
-    second = inner.groupBy(*group).agg(F.max(F.when(F.col(entity) != F.col(f"top.{entity}"), F.col("x"))).alias("top2"),
-                                       F.min(F.when(F.col(entity) != F.col(f"bottom.{entity}"), F.col("x"))).alias("bottom2"))
-    j = _same(_same(e, g, group), second, group)
+    second = cut_lineage(inner.groupBy(*group).agg(F.max(F.when(F.col(entity) != F.col(f"top.{entity}"), F.col("x"))).alias("top2"),
+                                       F.min(F.when(F.col(entity) != F.col(f"bottom.{entity}"), F.col("x"))).alias("bottom2")))
+    # spread by number, which adaptive execution leaves: a few MB of entities would else be one task
+    j = _same(_same(e.repartition(-(-max(e.count(), 1) // SPREAD), entity), g, group), second, group)
 
     def others(c: str):
         """Mean of the others' level."""
@@ -64,7 +74,7 @@ def gap_report(panel: DataFrame, group: list[str], entity: str, period: str, val
          .withColumn("a", F.col("noise") * F.col("noise") / F.col("t")).withColumn("b", F.try_divide("v_peers", "n_peers")))
     dfw = f"(pow(a + b, 2) / {nz('(a * a / ' + nz('(t - 1)') + ' + b * b / ' + nz('(n_peers - 1)') + ')')})"
     j = j.withColumn("__df", F.expr(dfw)).withColumn("__crit", F.expr(f"CASE WHEN __df > 0 THEN {D.t_ppf(0.975, '__df')} END"))
-    j = j.withColumn("__bcrit", F.expr(f"CASE WHEN n_peers > 1 THEN {D.t_ppf(0.975, '(n_peers - 1)')} END"))
+    j = cut_lineage(j)  # the quantile is evaluated once, not in every column that reads it
     out = finalize(j, {"level": "x", "benchmark": "bench", "bench_low": "bench - __bcrit * sqrt(b)", "bench_high": "bench + __bcrit * sqrt(b)", "n_peers": "n_peers",
                        "gap": "x - bench", "gap_pct": f"(x - bench) * 100 / {nz('bench')}", "ci_low": "x - bench - __crit * sqrt(a + b)",
                        "ci_high": "x - bench + __crit * sqrt(a + b)", "noise": "noise"}, keep=[*group, entity, "windows_agree", "drop_one_peer"])
@@ -94,6 +104,7 @@ def regression_expected(df: DataFrame, group: list[str], entity: str, value: str
     d = df.where(F.col(value).isNotNull() & F.col(control).isNotNull())
     g = d.groupBy(*group).agg(F.count("*").alias("n"), F.regr_sxx(value, control).alias("sxx"), F.regr_sxy(value, control).alias("sxy"),
                               F.avg(control).alias("mc"), F.avg(value).alias("mv"))
+    g = cut_lineage(g)
     j = _same(d.select(*group, entity, F.col(value).alias("v"), F.col(control).alias("c")), g, group)
     lever = f"(1.0D / n + (c - mc) * (c - mc) / {nz('sxx')})"
     resid = f"(v - mv - sxy / {nz('sxx')} * (c - mc))"
