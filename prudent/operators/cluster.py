@@ -10,6 +10,8 @@ functions over bounded inputs with broadcast model state.
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -19,6 +21,7 @@ from pyspark.ml.feature import PCA, RobustScaler, StandardScaler, VectorAssemble
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from prudent.functions.scalar import safe_div
 from prudent.session import cut_lineage
@@ -36,12 +39,36 @@ def prepare(df: DataFrame, features: list[str], scale: str = "standard", out: st
     return sc.fit(d).transform(d).drop("__raw")
 
 
+#: fits of a sweep that run at a time: a fit is a row of short jobs that leave most cores idle
+FITS = 12
+
+
+#: rows in a task of a fit, and tasks below which partitions are left as they are
+FIT_ROWS, FIT_TASKS = 20_000, 16
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """Rows kept for many passes, in partitions by their number: a cached table keeps every shuffle partition, and a pass of a fit
+    over 200 of a few hundred rows each spends its time on starting tasks.  Partitions are put together, rows keep their order."""
+    first = df.cache()
+    d = first.coalesce(max(FIT_TASKS, -(-first.count() // FIT_ROWS))).cache()
+    d.count()
+    first.unpersist()
+    return d
+
+
+def _at_once(spark, calls: list) -> list:
+    """Results of calls that each run their own Spark jobs, some at a time (as ``parallelism`` of a cross validator)."""
+    with ThreadPoolExecutor(min(FITS, len(calls))) as pool:
+        return [r.result() for r in [pool.submit(inheritable_thread_target(spark)(c)) for c in calls]]
+
+
 def kmeans_sweep(df: DataFrame, ks=range(2, 11), seed: int = 42, features: str = "features") -> DataFrame:
     """K-means for each k: silhouette, within-cluster cost (elbow) and
     the gap statistic against uniform reference sets drawn in the bounding
     box (seeded hashes, three references)."""
-    ev = ClusteringEvaluator(featuresCol=features, metricName="silhouette")
-    d = df.select(features).cache()
+    ev = ClusteringEvaluator(featuresCol=features, predictionCol="cluster", metricName="silhouette")
+    d = _kept(df.select(features))
     arr = d.select(vector_to_array(features).alias("a"))
     dim = len(arr.first()["a"])
     bounds = arr.select(*[F.min(F.col("a")[i]).alias(f"lo{i}") for i in range(dim)],
@@ -53,15 +80,27 @@ def kmeans_sweep(df: DataFrame, ks=range(2, 11), seed: int = 42, features: str =
                  * F.lit(bounds[f"hi{i}"] - bounds[f"lo{i}"])).alias(f"x{i}") for i in range(dim)]
         r = VectorAssembler(inputCols=[f"x{i}" for i in range(dim)], outputCol=features).transform(arr.select(*cols))
         refs.append(r.select(features).cache())
+    for r in refs:
+        r.count()  # kept before the fits share it
+
+    def fit(k):
+        m = KMeans(k=k, seed=seed, featuresCol=features, predictionCol="cluster").fit(d)
+        return float(ev.evaluate(m.transform(d))), float(m.summary.trainingCost)
+
+    def ref_cost(k, r):
+        return KMeans(k=k, seed=seed, featuresCol=features).fit(r).summary.trainingCost
+
+    ks = list(ks)
+    # the largest first: they take longest
+    order = sorted(ks, reverse=True)
+    got = _at_once(df.sparkSession, [partial(fit, k) for k in order] + [partial(ref_cost, k, r) for k in order for r in refs])
     rows = []
     for k in ks:
-        m = KMeans(k=k, seed=seed, featuresCol=features, predictionCol="cluster").fit(d)
-        pred = m.transform(d)
-        sil = ev.setPredictionCol("cluster").evaluate(pred)
-        cost = m.summary.trainingCost
-        ref_costs = [KMeans(k=k, seed=seed, featuresCol=features).fit(r).summary.trainingCost for r in refs]
+        i = order.index(k)
+        sil, cost = got[i]
+        ref_costs = got[len(ks) + i * len(refs):len(ks) + (i + 1) * len(refs)]
         gap = float(np.mean([math.log(max(c, 1e-300)) for c in ref_costs]) - math.log(max(cost, 1e-300)))
-        rows.append((k, float(sil), float(cost), gap))
+        rows.append((k, sil, cost, gap))
     d.unpersist()
     for r in refs:
         r.unpersist()
@@ -90,13 +129,16 @@ def hierarchical(df: DataFrame, k: int, seed: int = 42, features: str = "feature
 
 def gmm_sweep(df: DataFrame, ks=range(2, 7), seed: int = 42, features: str = "features") -> DataFrame:
     """Gaussian mixtures by BIC = -2 logL + p ln n (full covariances)."""
-    d = df.select(features).cache()
+    d = _kept(df.select(features))
     n = d.count()
     dim = len(d.first()[features])
+
+    def fit(k):
+        return GaussianMixture(k=k, seed=seed, featuresCol=features).fit(d).summary.logLikelihood
+
     rows = []
-    for k in ks:
-        m = GaussianMixture(k=k, seed=seed, featuresCol=features).fit(d)
-        ll = m.summary.logLikelihood
+    ks = list(ks)
+    for k, ll in zip(ks, _at_once(df.sparkSession, [partial(fit, k) for k in ks])):
         p = k * (dim + dim * (dim + 1) / 2) + (k - 1)
         rows.append((k, float(ll), float(-2 * ll + p * math.log(n))))
     d.unpersist()

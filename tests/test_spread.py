@@ -63,3 +63,9 @@ def test_sweeps_equal_single_fits(spark):
     for k, r in mixtures.items():
         assert r.log_likelihood == pytest.approx(GaussianMixture(k=k, seed=42).fit(df).summary.logLikelihood)
     assert [k for k, r in mixtures.items() if r.best] == [3]
+
+
+def test_rows_of_a_sweep_are_kept_in_partitions_by_their_number(spark):
+    kept = K._kept(spark.range(0, 5000, 1, 200))
+    assert kept.rdd.getNumPartitions() == K.FIT_TASKS and [r.id for r in kept.collect()] == list(range(5000))
+    assert K._kept(spark.range(0, 5000, 1, 3)).rdd.getNumPartitions() == 3
