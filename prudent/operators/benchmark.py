@@ -45,7 +45,7 @@ def gap_report(panel: DataFrame, group: list[str], entity: str, period: str, val
     sums = [a for c in levels for a in (F.count(c).alias(f"n_{c}"), F.avg(c).alias(f"m_{c}"))]
     g = e.groupBy(*group).agg(*sums, (F.var_pop("x") * F.count("x")).alias("m2"), F.max(F.struct("x", entity)).alias("top"), F.min(F.struct("x", entity)).alias("bottom"))
     # an entity's peers are its group less itself: their quantile is the group's, not a row's
-    g = cut_lineage(g.withColumn("__bcrit", F.expr(f"CASE WHEN n_x - 1 > 1 THEN {D.t_ppf(0.975, '(n_x - 1)')} END")))
+    g = cut_lineage(g.withColumn("__bcrit", F.expr(f"CASE WHEN n_x - 1 > 1 THEN {D.t_ppf(0.975, '(n_x - 2)')} END")))
     # the second from either end, for the entity that is the first itself
     inner = _same(e, g.select(*group, "top", "bottom"), group)
     second = cut_lineage(inner.groupBy(*group).agg(F.max(F.when(F.col(entity) != F.col(f"top.{entity}"), F.col("x"))).alias("top2"),

@@ -49,9 +49,12 @@ FIT_ROWS, FIT_TASKS = 20_000, 16
 
 def _kept(df: DataFrame) -> DataFrame:
     """Rows kept for many passes, in partitions by their number: a cached table keeps every shuffle partition, and a pass of a fit
-    over 200 of a few hundred rows each spends its time on starting tasks.  Partitions are put together, rows keep their order."""
+    over 200 of a few hundred rows each spends its time on starting tasks.  More of them are put together, fewer stay as they are."""
     first = df.cache()
-    d = first.coalesce(max(FIT_TASKS, -(-first.count() // FIT_ROWS))).cache()
+    tasks = max(FIT_TASKS, -(-first.count() // FIT_ROWS))
+    if first.rdd.getNumPartitions() <= tasks:
+        return first
+    d = first.coalesce(tasks).cache()
     d.count()
     first.unpersist()
     return d
